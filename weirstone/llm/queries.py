@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weirstone.llm import piece_codec
+from weirstone.llm import id_shards, piece_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's word_bpe_49k ids with the end id 1, written to dictionary-compressed shards and read back."""
+    folder, dictionary = id_shards.write(table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return id_shards.read(spark, folder, dictionary)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document through piece_bpe_32k: ids, round trip and span digests."""
     return piece_codec.digests(table(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Query] = {
+    "op5_token_id_shards": op5_token_id_shards,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
