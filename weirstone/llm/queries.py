@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weirstone.llm import id_shards, piece_codec
+from weirstone.llm import ball_simhash, id_shards, piece_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def op5_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_shards.read(spark, folder, dictionary)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return ball_simhash.near_duplicates(table(spark, sf_dir))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document through piece_bpe_32k: ids, round trip and span digests."""
     return piece_codec.digests(table(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
@@ -29,6 +34,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op5_token_id_shards": op5_token_id_shards,
+    "op7_simhash": op7_simhash,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
