@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weirstone.llm import ball_simhash, id_shards, piece_codec
+from weirstone.llm import ball_simhash, id_shards, nearest_toxic, piece_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and evidence of every document; learnt from labels outside the held-out third."""
+    docs = table(spark, sf_dir)
+    return nearest_toxic.score(docs, nearest_toxic.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's word_bpe_49k ids with the end id 1, written to dictionary-compressed shards and read back."""
     folder, dictionary = id_shards.write(table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -33,6 +39,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
     "op5_token_id_shards": op5_token_id_shards,
     "op7_simhash": op7_simhash,
     "op10_sentencepiece": op10_sentencepiece,
