@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weirstone.llm import ball_simhash, id_shards, nearest_toxic, piece_codec
+from weirstone.llm import ball_simhash, id_shards, kneser_ney, nearest_toxic, piece_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and perplexity verdict of every document."""
+    return kneser_ney.judge(table(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and evidence of every document; learnt from labels outside the held-out third."""
     docs = table(spark, sf_dir)
@@ -39,6 +44,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
     "op5_token_id_shards": op5_token_id_shards,
     "op7_simhash": op7_simhash,
