@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weirstone.llm import ball_simhash, id_shards, kneser_ney, nearest_toxic, piece_codec
+from weirstone.llm import ball_simhash, gif_frames, id_shards, kneser_ney, nearest_toxic, piece_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,11 @@ def op5_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_shards.read(spark, folder, dictionary)
 
 
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a GIF, read back from the stored bytes, with its colour histogram."""
+    return gif_frames.digests(gif_frames.with_media(table(spark, sf_dir)))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return ball_simhash.near_duplicates(table(spark, sf_dir))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
     "op5_token_id_shards": op5_token_id_shards,
+    "op6_gif": op6_gif,
     "op7_simhash": op7_simhash,
     "op10_sentencepiece": op10_sentencepiece,
 }
