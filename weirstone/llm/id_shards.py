@@ -49,11 +49,22 @@ SHARD_BYTES = 4 << 20
 #: Ranges of doc_id: a few for each task; the driver keeps one number for each.
 MOST_BUCKETS = 65_536
 #: Words whose ids a task keeps at once.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 800_000
 KEPT_CHARS = 64
+CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 NO_ID = np.iinfo(np.int64).min
 
 
+def _byte_chars() -> list[str]:
+    """The character that byte-level models have for each byte: itself if it is printable in Latin-1, else the next free one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return [chr(b if b in printable else next(free)) for b in range(256)]
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class WordIds:
     """Encodes with a tokenizers file; where its rules can't look over a space, words are encoded once and kept."""
 
@@ -65,7 +76,9 @@ class WordIds:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.by_word = self._within_words(spec)
+        self.kind = f"<u{self.width}"
         self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
 
     @staticmethod
     def _within_words(spec: dict) -> bool:
@@ -80,6 +93,8 @@ class WordIds:
             and first.get("behavior") == "Removed"
             and bool(first.get("invert"))
             and first["pattern"].get("Regex", " ").endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+            and [x["type"] for x in splitter["pretokenizers"][1:]] == ["ByteLevel"]
+            and {x["type"] for x in normaliser.get("normalizers", [])} == {"NFC", "Lowercase", "Replace"}
             and spec["model"]["type"] == "BPE"
             and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or set(x["content"]) & set(" \n") for x in spec["added_tokens"])
         )
@@ -91,20 +106,43 @@ class WordIds:
         at = (at * self.width).tolist()
         return [data[b:e] for b, e in pairwise(at)]
 
+    def _learn(self, missing: set[str]) -> None:
+        """Ids of words. A Latin word with or without a comma or full stop is cut as the file's own pattern does, put into lower
+        case and handed to the model alone; all others go the library's whole way."""
+        whole, model, stems, later = [], self.library.model, self.stems, []
+        for word in missing:
+            stem, tail = (word[:-1], word[-1]) if word[-1] in ",." else (word, "")
+            if stem.isalpha() and max(stem) < "\u0250":
+                stem = stem.lower()
+                ids = stems.get(stem)
+                if ids is None:
+                    chars = stem if stem.isascii() else "".join(map(BYTE_CHARS.__getitem__, stem.encode()))
+                    ids = stems[stem] = np.array([t.id for t in model.tokenize(chars)], self.kind).tobytes()
+                later.append((word, ids, tail))
+            else:
+                whole.append(word)
+        tails = dict(zip(("", ",", "."), (b"", *self._bytes([",", "."])), strict=True))
+        self.words.update((w, ids + tails[t]) for w, ids, t in later)
+        self.words.update(zip(whole, self._bytes(whole), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, serialised."""
         if not self.by_word:
             return self._bytes(texts)
-        split = [[w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
-        long = {k for k, words in enumerate(split) if words and max(map(len, words)) > KEPT_CHARS}
-        missing = {w for k, words in enumerate(split) if k not in long for w in words if w not in self.words}
+        # split() also splits at four control characters that are no white space for the file's pattern
+        split = [[w for w in t.replace("\n", " ").split(" ") if w] if any(c in t for c in CONTROLS) else t.split() for t in texts]
+        distinct = set().union(*split)
+        missing = distinct.difference(self.words)
         if len(self.words) + len(missing) > KEPT_WORDS:
             self.words.clear()
-            missing = {w for k, words in enumerate(split) if k not in long for w in words}
-        order = list(missing)
-        self.words.update(zip(order, self._bytes(order), strict=True))
-        get = self.words.__getitem__
-        return [self._bytes([t])[0] if k in long else b"".join(map(get, words)) for k, (t, words) in enumerate(zip(texts, split, strict=True))]
+            self.stems.clear()
+            missing = distinct
+        self._learn(missing)
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        for w in missing:
+            if len(w) > KEPT_CHARS:
+                del self.words[w]
+        return out
 
 
 _encoders: dict[str, WordIds] = {}
