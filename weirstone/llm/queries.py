@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weirstone.llm import ball_simhash, gif_frames, id_shards, kneser_ney, nearest_toxic, piece_codec
+from weirstone.llm import ball_simhash, gif_frames, id_shards, kneser_ney, line_windows, nearest_toxic, piece_codec, unit_hashes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_simhash.near_duplicates(table(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated three-line windows take from every document."""
+    return line_windows.digests(table(spark, sf_dir))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated lines take from every document, with original offsets."""
+    return unit_hashes.digests(table(spark, sf_dir))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document through piece_bpe_32k: ids, round trip and span digests."""
     return piece_codec.digests(table(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
@@ -54,6 +64,11 @@ QUERIES: dict[str, Query] = {
     "op5_token_id_shards": op5_token_id_shards,
     "op6_gif": op6_gif,
     "op7_simhash": op7_simhash,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": line_windows.ORACLE,
+    "op9_substring_dedup": unit_hashes.ORACLE,
+}
