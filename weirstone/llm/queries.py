@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weirstone.llm import ball_simhash, gif_frames, id_shards, kneser_ney, line_windows, nearest_toxic, piece_codec, unit_hashes
+from weirstone.llm import ball_simhash, gif_frames, id_shards, kneser_ney, line_windows, nearest_toxic, piece_codec, soft_mixing, unit_hashes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_toxic.score(docs, nearest_toxic.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and the fitted rate of every document."""
+    return soft_mixing.rated(table(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op5_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's word_bpe_49k ids with the end id 1, written to dictionary-compressed shards and read back."""
     folder, dictionary = id_shards.write(table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -61,6 +66,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
+    "op3_source_mixing": op3_source_mixing,
     "op5_token_id_shards": op5_token_id_shards,
     "op6_gif": op6_gif,
     "op7_simhash": op7_simhash,
