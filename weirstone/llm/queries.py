@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weirstone.llm import ball_simhash, gif_frames, id_shards, kneser_ney, line_windows, nearest_toxic, piece_codec, soft_mixing, unit_hashes
+from weirstone.llm import ball_simhash, gif_frames, id_shards, kneser_ney, line_windows, nearest_toxic, piece_codec, run_index, soft_mixing, unit_hashes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return soft_mixing.rated(table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated 200-byte strings take from every document."""
+    return run_index.digests(table(spark, sf_dir))
+
+
 def op5_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's word_bpe_49k ids with the end id 1, written to dictionary-compressed shards and read back."""
     folder, dictionary = id_shards.write(table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
     "op3_source_mixing": op3_source_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_id_shards": op5_token_id_shards,
     "op6_gif": op6_gif,
     "op7_simhash": op7_simhash,
