@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3, id_col: str = "d
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words_in_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words_in_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input without all but one row of each component: the one with the smallest id, of equal ids the first text.
 
     Rows whose id is null are components' members like others and stay only if their component has no id at all.
