@@ -152,6 +152,14 @@ def count(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def packed_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The numbers of each column of a task as bytes: as rows they would take many times the driver's memory."""
+    held = list(batches)
+    if held:
+        names = held[0].schema.names
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(b.column(k).to_numpy().tobytes() for b in held)], pa.binary()) for k in range(len(names))], names)
+
+
 def hashed_counts(exact: DataFrame) -> list[tuple[np.ndarray, ...]]:
     """For each order from 1 to ORDER: sorted hashes of its n-grams, their counts, and the hashes of their contexts and of their suffixes.
 
@@ -181,9 +189,12 @@ def hashed_counts(exact: DataFrame) -> list[tuple[np.ndarray, ...]]:
                     ["h", "n", "context", "suffix"],
                 )
 
-        rows = level.mapInArrow(run, "h int, n bigint, context int, suffix int").groupBy("h").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix")).toPandas()
-        rows = rows.sort_values("h")
-        out.append(tuple(rows[c].to_numpy() for c in ("h", "n", "context", "suffix")))
+        rows = level.mapInArrow(run, "h int, n bigint, context int, suffix int").groupBy("h").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix"))
+        parts = rows.mapInArrow(packed_columns, "h binary, n binary, context binary, suffix binary").collect()  # 20 bytes for each hash
+        kinds = (("h", np.int32), ("n", np.int64), ("context", np.int32), ("suffix", np.int32))
+        whole = [np.frombuffer(b"".join(r[c] for r in parts), kind) for c, kind in kinds]
+        order_of = np.argsort(whole[0], kind="stable")
+        out.append(tuple(x[order_of] for x in whole))
         if order > 1:  # the language stays in the bits above ORDER bytes
             low = (1 << (8 * (order - 1))) - 1
             high = ~((1 << (8 * ORDER)) - 1)
