@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from weirstone.plans import data_queries, pricing, window_queries, workloads
+
+PARTS = (pricing, window_queries, workloads, data_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for part in PARTS for k, q in part.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for part in PARTS for k, q in part.ORACLES.items()}
