@@ -37,7 +37,7 @@ from weirstone.llm.shared import byte_views, parts, run_bounds, spool, text_batc
 LENGTH, GRAM = 200, 48
 SPREAD = LENGTH - GRAM + 1  # places of an anchor in a string
 #: Bytes of text that anchors are looked for in at once, of one index, and of the contexts of one anchor that share a task.
-BLOCK_BYTES, INDEX_BYTES, GROUP_BYTES = 2 << 20, 1 << 20, 2 << 20
+BLOCK_BYTES, INDEX_BYTES, GROUP_BYTES = 512 << 10, 512 << 10, 1 << 20
 #: An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
