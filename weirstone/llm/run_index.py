@@ -41,6 +41,7 @@ BLOCK_BYTES, INDEX_BYTES, GROUP_BYTES = 512 << 10, 512 << 10, 1 << 20
 #: An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+PACKED = 7  # characters of nine bits that a first sort looks at
 PLACE_BITS = 28  # of a place in a block; the other bits hold the hash that is compared
 CONTEXT = [("key", pa.int64()), ("ctx", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("off", pa.int32()), ("size", pa.int32())]
 
@@ -235,21 +236,28 @@ class RunIndex:
     @staticmethod
     def _sort(text: np.ndarray, rest: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Suffix order by doubling, the row of each suffix, and for each row whether it agrees with the one before on `length` bytes."""
-        n = len(text)
-        rank, have, most = text.copy(), 1, int(rest.max())
+        n, most = len(text), int(rest.max())
+        have = PACKED if length >= 2 * PACKED else 1
+        key = np.zeros(n, np.int64)
+        for k in range(have):
+            key <<= 9
+            inside = n - k
+            key[:inside] |= np.where(rest[:inside] > k, text[k:], 0)
         kept: dict[int, np.ndarray] = {}
-        order = np.arange(n)
-        while have < most:
-            kept[have] = rank
-            after = np.zeros(n, np.int64)
-            inside = np.flatnonzero(rest > have)
-            after[inside] = rank[inside + have] + 1
-            key = rank * (int(after.max()) + 1) + after
-            order = np.argsort(key, kind="stable")
+        while True:
+            order = np.argsort(key)
             step = np.append(False, key[order[1:]] != key[order[:-1]])
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(step)
+            if have >= most:
+                break
+            kept[have] = rank
+            key = rank * (n + 1)
+            inside = np.flatnonzero(rest > have)
+            key[inside] += rank[inside + have] + 1
             have *= 2
+        order = np.argsort(rank * n + np.arange(n))  # equal suffixes in the order of their strings
+        kept[have] = rank
         half = max(h for h in kept if h <= length)
         level = kept[half]
         deep = rest > length  # the zero that ends a string is no byte of it
@@ -257,7 +265,7 @@ class RunIndex:
         a, b = order[:-1], order[1:]
         agree = np.append(False, deep[a] & deep[b] & (level[a] == level[b]) & (tail[a] == tail[b]))
         row = np.empty(n, np.int64)
-        row[order] = np.arange(n)  # equal suffixes stand in the order of their strings
+        row[order] = np.arange(n)
         return order, row, agree
 
     def matches(self, length: int) -> list[np.ndarray]:
