@@ -55,7 +55,7 @@ class JsonSource:
         head = [r.value for r in spark.read.text(self.path).where(F.length(F.trim("value")) > 0).limit(self.infer_records).collect()]
         if not head:
             raise SchemaError(f"{self.path} has no record to infer a schema from")
-        return spark.read.json(spark.createDataFrame([(x,) for x in head], "value string")).schema
+        return inferred_from(spark, head)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(self.schema or self.inferred(spark)).option("mode", "FAILFAST").json(self.path)
@@ -64,14 +64,20 @@ class JsonSource:
         return _limited(spark.readStream.schema(self.schema or self.inferred(spark)).option("mode", "FAILFAST"), files_per_trigger).json(self.path)
 
 
+def inferred_from(spark: SparkSession, records: list[str]) -> T.StructType:
+    """The schema of a few JSON records; only the reader infers one, and it takes texts as an RDD."""
+    return spark.read.json(spark.sparkContext.parallelize(records, 1)).schema
+
+
 def json_rows(spark: SparkSession, data: bytes, schema: T.StructType | None = None, infer_records: int = INFER_RECORDS) -> DataFrame:
     """Rows of line-delimited JSON held in memory."""
     lines = [x for x in data.decode().splitlines() if x.strip()]
     if schema is None:
         if not lines:
             raise SchemaError("no record to infer a schema from")
-        schema = spark.read.json(spark.createDataFrame([(x,) for x in islice(lines, infer_records)], "value string")).schema
-    return spark.read.schema(schema).json(spark.createDataFrame([(x,) for x in lines], "value string"))
+        schema = inferred_from(spark, list(islice(lines, infer_records)))
+    rows = spark.createDataFrame([(x,) for x in lines], "value string")
+    return rows.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
 
 
 def _limited(reader, files: int | None):

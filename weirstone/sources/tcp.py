@@ -14,6 +14,7 @@ import io
 import socket
 import struct
 import threading
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -102,16 +103,28 @@ class Listener:
         self.server.close()
 
 
+#: Listeners of this process by the number of their reader: readers are pickled, sockets can't be.
+_listeners: dict[str, Listener] = {}
+
+
 class _Reader(SimpleDataSourceStreamReader):
     def __init__(self, schema: StructType, options: dict):
-        host, _, port = options.get("bind", "127.0.0.1:0").rpartition(":")
-        kinds = to_arrow_schema(schema)
-        self.listener = Listener(host or "127.0.0.1", int(port), kinds, int(options.get("buffer", BUFFER)), int(options.get("max_frame_bytes", MOST_BYTES)))
-        if path := options.get("address_file"):  # tells a caller which port was taken
-            with open(path, "w") as f:
-                f.write(f"{self.listener.address[0]}:{self.listener.address[1]}")
+        self.fields, self.options, self.number = schema, options, uuid.uuid4().hex
+
+    @property
+    def listener(self) -> Listener:
+        """Started at the first call in the process that runs the source."""
+        if self.number not in _listeners:
+            host, _, port = self.options.get("bind", "127.0.0.1:0").rpartition(":")
+            own = Listener(host or "127.0.0.1", int(port), to_arrow_schema(self.fields), int(self.options.get("buffer", BUFFER)), int(self.options.get("max_frame_bytes", MOST_BYTES)))
+            _listeners[self.number] = own
+            if path := self.options.get("address_file"):  # tells a caller which port was taken
+                with open(path, "w") as f:
+                    f.write(f"{own.address[0]}:{own.address[1]}")
+        return _listeners[self.number]
 
     def initialOffset(self) -> dict:
+        assert self.listener
         return {"frame": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
@@ -122,8 +135,8 @@ class _Reader(SimpleDataSourceStreamReader):
         return self._rows(start["frame"], end["frame"])
 
     def _rows(self, start: int, end: int) -> Iterator[tuple]:
-        for batch in self.listener.between(start, end):
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        """A list's iterator, as Spark copies it; a micro-batch holds the frames of a full buffer at most."""
+        return iter([row for batch in self.listener.between(start, end) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
 
     def commit(self, end: dict) -> None:
         self.listener.forget(end["frame"])
