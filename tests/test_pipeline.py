@@ -65,6 +65,16 @@ def test_columns_see_the_rows_before_their_stage(spark):
     assert ws["A"].first() == (2, 1)
 
 
+def test_checkpoints_end_the_lineage(spark):
+    ws = Workspace(spark, {"A": spark.range(3).toDF("x")})
+    p = Pipeline("p", ws)
+    for name in ("one", "two"):
+        p.add_columns(Access(name).read("A").write("A", "x"), lambda w: {"A": {"x": F.col("x") + 1}})
+    p.run(checkpoint_every=1)
+    assert sorted(r.x for r in ws["A"].collect()) == [2, 3, 4]
+    assert "Range" not in ws["A"]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_undeclared_writes_are_refused(spark):
     ws = Workspace(spark, {"A": spark.createDataFrame([(1, 2)], "x int, y int")})
     p = Pipeline("p", ws).add_columns(Access("one").write("A", "x"), lambda w: {"A": {"y": F.lit(1)}})

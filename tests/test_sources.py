@@ -140,6 +140,15 @@ def test_snapshots(spark):
     assert len(snapshot.write_component(ws, "A")) > 4
 
 
+def test_saved_tables(spark, tmp_path):
+    ws = Workspace(spark, {"B": spark.createDataFrame(ROWS, SCHEMA)})
+    ws.mark_dead("B", F.col("id") == 2)
+    assert snapshot.load_tables(spark, f"{tmp_path}/none") is None
+    snapshot.save_tables(ws, f"{tmp_path}/t")
+    back = snapshot.load_tables(spark, f"{tmp_path}/t")
+    assert got(back["B"]) == got(ws["B"]) and back.live_rows("B") == 2 and back.fingerprint() == ws.fingerprint()
+
+
 def test_tcp_frames():
     schema = pa.schema([("v", pa.int64())])
     own = tcp.Listener("127.0.0.1", 0, schema, buffer=8, most_bytes=10_000)

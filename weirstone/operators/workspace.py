@@ -6,6 +6,7 @@ seen by scans and sinks until then. Everything is lazy; only rows() and live_row
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping
 from typing import Any
 
@@ -113,6 +114,13 @@ class Workspace:
             other.register(c.name, c.schema, c.version, c.migrate)
         return other
 
+    def checkpoint(self) -> None:
+        """Write all components to the checkpoint folder; what comes after starts from there. Without a folder set, a temporary one is."""
+        context = self.spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weirstone-"))
+        self.frames = {k: df.checkpoint() for k, df in self.frames.items()}
+
     # -- resources
 
     def insert_resource(self, name: str, value: Any) -> None:

@@ -84,11 +84,14 @@ class Pipeline:
 
     # -- running
 
-    def run(self, count: bool = False) -> RunStats:
-        """Run all stages. With count the live rows are counted before and after, which are two jobs for each component."""
+    def run(self, count: bool = False, checkpoint_every: int = 0) -> RunStats:
+        """Run all stages. With count the live rows are counted before and after, which are two jobs for each component.
+
+        checkpoint_every ends the lineage after each so many stages: the components are written to the checkpoint folder (0: never).
+        """
         began, before = time.monotonic(), self._live() if count else None
         retries = 0
-        for stage in self._stages():
+        for number, stage in enumerate(self._stages(), 1):
             writes: dict[str, dict] = {}
             updates: dict[str, Any] = {}
             for system in (self.systems[i] for i in stage):
@@ -97,6 +100,8 @@ class Pipeline:
                 self.workspace.apply(component, columns)
             for k, v in updates.items():
                 self.workspace.insert_resource(k, v)
+            if checkpoint_every and number % checkpoint_every == 0:
+                self.workspace.checkpoint()
         rows = None if before is None else self._live() - before
         self.last_stats = RunStats(len(self.systems), retries, time.monotonic() - began, rows)
         return self.last_stats
