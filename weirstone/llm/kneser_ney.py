@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirstone.llm.shared import byte_views, spool, text_batches, text_of
+from weirstone.llm.shared import byte_views, small_enough, spool, text_batches, text_of
 
 ORDER, HASH_BITS = 5, 22
 BAND_WIDTH, LEAST_BAND = 8.0, 1.0
@@ -313,7 +313,8 @@ def bands(rows: DataFrame) -> DataFrame:
 def judged(rows: DataFrame) -> DataFrame:
     """The measured rows with their language's band and kept."""
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
-    return rows.join(bands(rows), F.col("_lang").eqNullSafe(F.col("_of")), "left").withColumn("kept", ~F.col("base_failed") & inside).drop("_of")
+    ends = small_enough(spool(bands(rows)))  # a row for each language
+    return rows.join(ends, F.col("_lang").eqNullSafe(F.col("_of")), "left").withColumn("kept", ~F.col("base_failed") & inside).drop("_of")
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,7 +27,31 @@ def work_folder(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="weirstone-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/weirstone-{uuid.uuid4().hex}"
+    return f"{_scope[-1] if _scope else base.rstrip('/')}/weirstone-{uuid.uuid4().hex}"
+
+
+_scope: list[str] = []
+
+
+@contextlib.contextmanager
+def scoped(folder: str) -> Iterator[None]:
+    """Within it new work folders lie below this one, so that they can be removed together."""
+    _scope.append(folder)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of whatever file system Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_enough(df: DataFrame, rows: int = 65_536) -> DataFrame:
+    """A table of the shared folder marked for broadcast if it is counted to have so many rows at most, else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def spool(df: DataFrame, codec: str = "zstd") -> DataFrame:
