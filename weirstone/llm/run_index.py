@@ -14,7 +14,8 @@ A byte goes if a string of LENGTH bytes that covers it starts anywhere else too,
    agree on LENGTH bytes form classes, and a class of weight two or more is a match long enough (matching statistics cut off at LENGTH).
 4. An anchor with more than GROUP_BYTES of different contexts isn't indexed in one task. Its contexts are cut in two halves by
    the offset of the anchor in the string; each half's strings share some more bytes, which are hashed into the
-   key, and the halves are settled in another round. After a few rounds a context is one string, and equal ones are one entry.
+   key, and the halves are settled in another round. After a few rounds a context is one string, and equal ones are one entry
+   of which a task holds one.
 5. The marked intervals go back to the documents, which lie in a table bucketed by row: texts are shuffled once, in the beginning.
 
 Defined cases: a null text counts as empty; texts shorter than LENGTH lose nothing; repeated rows are copies of each other and lose all bytes if they
@@ -316,6 +317,7 @@ def settle(contexts: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
         size = pend = 0
         splitting = False
         current = None
+        marks: list[tuple] = []
         schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("off", pa.int32()), ("size", pa.int32()), ("text", pa.binary()), ("weight", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
 
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -326,15 +328,11 @@ def settle(contexts: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
             yield from out([(1, k, row, a, o, len(t), t, w, least, most) for key, row, at, off, text, w, low, high in rows for k, a, o, t, least, most in _halves(key, at, off, text, low, high)])
 
         def index(groups: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
-            members: dict[tuple, list[tuple]] = {}
-            for rows in groups:
-                for key, row, at, off, text, w, _, _ in rows:
-                    members.setdefault((key, off, text), []).append((row, at, w))
-            if not members:
+            entries = [item for rows in groups for item in rows]
+            if not entries:
                 return
-            strings = [t for _, _, t in members]
-            found = RunIndex(strings, [sum(w for _, _, w in m) for m in members.values()], LENGTH).matches(LENGTH)
-            yield from out([(0, 0, row, at + b, 0, e - b, None, 0, 0, 0) for m, starts in zip(members.values(), found, strict=True) for b, e in _spans(starts) for row, at, _ in m])
+            found = RunIndex([e[4] for e in entries], [e[5] for e in entries], LENGTH).matches(LENGTH)
+            yield from out([(0, 0, row, at + b, 0, e - b, None, 0, 0, 0) for (_, row, at, *_), starts in zip(entries, found, strict=True) for b, e in _spans(starts)])
 
         for batch in batches:
             for item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -348,6 +346,14 @@ def settle(contexts: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
                         yield from index(pending)
                         pending, pend = [], 0
                     group, size, splitting, current = [], 0, False, item[0]
+                if group and group[-1][4] == item[4]:  # equal contexts are one entry, and repeated as a whole
+                    for _, row, at, _, text, _, _, _ in (group[-1], item) if group[-1][5] < 2 else (item,):
+                        marks.append((0, 0, row, at, 0, len(text), None, 0, 0, 0))
+                    group[-1] = (*group[-1][:5], 2, *group[-1][6:])
+                    if len(marks) >= 10_000:
+                        yield from out(marks)
+                        marks = []
+                    continue
                 group.append(item)
                 size += len(item[4])
                 if size > group_bytes and len(item[4]) > LENGTH:
@@ -359,6 +365,7 @@ def settle(contexts: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
             yield from split(group)
         elif group:
             pending.append(group)
+        yield from out(marks)
         yield from index(pending)
 
     sorted_rows = contexts.select("key", "row", "at", "off", "text", "weight", "low", "high").repartition(parts(contexts.sparkSession), "key").sortWithinPartitions("key", "text")
