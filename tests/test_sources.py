@@ -6,6 +6,7 @@ import hashlib
 import socket
 import struct
 import time
+import urllib.request
 
 import pyarrow as pa
 import pytest
@@ -32,6 +33,7 @@ from weirstone.sources.registry import Registry
 from weirstone.streaming import runner
 from weirstone.streaming.guest import ArrowGuest, Chain
 from weirstone.streaming.late_windows import LateWindows, native
+from weirstone.streaming.status import StatusPage
 from weirstone.types import Component
 
 ROWS = [(1, "a", 1.5), (2, None, None), (3, "é,\"x\"", -2.0)]
@@ -268,6 +270,22 @@ def test_driver_counts_errors_and_goes_on(spark):
         runner.Driver(p, runner.STREAM).run()
 
 
+def test_status_page(capsys):
+    c = runner.Counters()
+    page = StatusPage(c, "n")
+    try:
+        address = f"{page.address[0]}:{page.address[1]}"
+        assert page.answer("/ready")[0] == 503 and page.answer("/none")[0] == 404
+        c.runs = 2
+        assert page.answer("/ready")[0] == 200 and "weirstone_runs 2" in page.answer("/metrics")[2]
+        with urllib.request.urlopen(f"http://{address}/health") as answer:
+            assert answer.read() == b"ok"
+        assert main(["status", address]) == 0 and '"runs": 2' in capsys.readouterr().out
+    finally:
+        page.close()
+    assert main(["status", address]) == 1
+
+
 def test_guests(spark):
     component = Component("A", T.StructType([T.StructField("v", T.LongType())]))
 

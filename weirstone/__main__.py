@@ -2,6 +2,7 @@
 
     python -m weirstone validate CONFIG
     python -m weirstone serve CONFIG
+    python -m weirstone status ADDRESS        (host:port of a served configuration's page)
     python -m weirstone query NAME FOLDER
     python -m weirstone list
 """
@@ -9,9 +10,11 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import hashlib
 import importlib.util
 import sys
+import urllib.request
 from pathlib import Path
 from types import ModuleType
 
@@ -22,6 +25,7 @@ from weirstone.plans import config as configuration
 from weirstone.plans.pipeline import Pipeline
 from weirstone.sources.registry import Registry
 from weirstone.streaming import runner
+from weirstone.streaming.status import StatusPage
 
 
 def program(conf: configuration.ServiceConfig) -> ModuleType:
@@ -44,19 +48,25 @@ def serve(conf: configuration.ServiceConfig, spark: SparkSession) -> runner.Coun
         module.register(registry)
     pipeline: Pipeline = module.build(spark, conf.program_config)
     conf.check_components(set(pipeline.workspace.components))
+    counters = runner.Counters()
+    page = contextlib.nullcontext() if conf.http_disabled else contextlib.closing(StatusPage(counters, conf.node_name, conf.http_bind))
+    with page:
+        return _run(conf, spark, registry, pipeline, counters)
+
+
+def _run(conf: configuration.ServiceConfig, spark: SparkSession, registry: Registry, pipeline: Pipeline, counters: runner.Counters) -> runner.Counters:
     sources, sinks = conf.endpoints(registry)
     for component, sink in sinks:
         pipeline.add_sink(component, sink.write)
     if conf.run_mode == runner.STREAM:
         component, source = sources[0]
         pipeline.add_source(component, lambda ws: ws[component])
-        counters = runner.Counters()
         runner.stream(pipeline, source.stream(spark), f"{conf.data_dir}/checkpoint", counters).awaitTermination()
         return counters
     for component, source in sources:
         pipeline.add_source(component, lambda ws, s=source: s.read(ws.spark))
     pipeline.validate()
-    return runner.Driver(pipeline, conf.run_mode, conf.interval_ms).run()
+    return runner.Driver(pipeline, conf.run_mode, conf.interval_ms, counters).run()
 
 
 def main(args: list[str] | None = None) -> int:
@@ -64,6 +74,7 @@ def main(args: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("validate", "serve"):
         commands.add_parser(name).add_argument("config")
+    commands.add_parser("status").add_argument("address")
     query = commands.add_parser("query")
     query.add_argument("name")
     query.add_argument("folder")
@@ -74,6 +85,9 @@ def main(args: list[str] | None = None) -> int:
             conf = configuration.load(own.config)
             conf.endpoints(Registry())
             print(f"{own.config}: valid, {conf.mode}, {conf.run_mode}, {len(conf.sources)} sources, {len(conf.sinks)} sinks")
+        elif own.command == "status":
+            with urllib.request.urlopen(f"http://{own.address}/status", timeout=10) as answer:
+                print(answer.read().decode())
         elif own.command == "serve":
             print(serve(configuration.load(own.config), SparkSession.builder.appName("weirstone").getOrCreate()))
         else:
@@ -85,7 +99,7 @@ def main(args: list[str] | None = None) -> int:
                 raise ConfigurationError(f"no query {own.name!r}")
             else:
                 catalog.QUERIES[own.name](SparkSession.builder.appName("weirstone").getOrCreate(), own.folder).show(50, truncate=False)
-    except EngineError as e:
+    except (EngineError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     return 0
