@@ -15,14 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirstone.llm.shared import spool, text_batches
+from weirstone.llm.shared import spool, text_batches, whole_row
 
 ROW, TEXT = "_row", "_text"
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows in a shared table, each with a number of its own, its rank (null ids last) and its text as _text (null: empty)."""
-    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"), F.monotonically_increasing_id().alias(ROW), F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(TEXT))
+    rows = docs.select(whole_row(docs), F.monotonically_increasing_id().alias(ROW), F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(TEXT))
     return spool(rows)
 
 
@@ -54,6 +54,7 @@ def later(found: DataFrame) -> DataFrame:
     """
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col(ROW), F.col("unit"))
     first = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", F.col(f"first.{ROW}").alias("first_row"), F.col("first.unit").alias("first_unit"))
+    first = spool(first)  # so that the join's sides are plain shuffles, which adaptive execution splits where a digest is hot
     return found.join(first.hint("merge"), ["hi", "lo"]).where((F.col(ROW) != F.col("first_row")) | (F.col("unit") != F.col("first_unit"))).select(ROW, "unit", "first_row", "first_unit")
 
 

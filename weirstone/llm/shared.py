@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one Arrow batch sent to Python where whole texts travel: a few MB.
 TEXT_BATCH_ROWS = 500
@@ -71,6 +72,21 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a table as the struct _doc, so that none of them clashes with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_doc")
+
+
+def doc_schema(rows: DataFrame, rest: str, name: str = "_doc") -> T.StructType:
+    """The schema of a result that hands _doc (or another column) on, with these columns after it; names in it may be anything."""
+    return T.StructType([T.StructField(name, rows.schema[name].dataType), *T.StructType.fromDDL(rest).fields])
+
+
+def unpacked(df: DataFrame) -> list[Column]:
+    """The table's columns out of _doc."""
+    return [F.col("_doc").getField(c).alias(c) for c in df.columns]
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session has them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
