@@ -59,7 +59,13 @@ def crowded(docs):
     """The documents with columns whose names the operators might use themselves."""
     from pyspark.sql import functions as F
 
-    return docs.select("*", *(F.lit(7).alias(c) for c in ("key", "row", "_row", "_doc", "_text", "fp", "id", "bits", "ids", "_p", "_tokens", "removed", "unit", "hi")))
+    return docs.select("*", *(F.lit(7).alias(c) for c in ("key", "row", "_row", "_doc", "_text", "fp", "id", "bits", "ids", "_p", "_tokens", "removed", "unit", "hi", "with.dot")))
+
+
+def as_given(out, names) -> bool:
+    """Whether the columns are those, and the made-up ones hold what they held."""
+    extra = [c for c in names if c not in ("doc_id", "text", "lang", "source", "n_chars", "removed")]
+    return out.columns == names and all(v == 7 for r in out.select(*(f"`{c}`" for c in extra)).collect() for v in r)
 
 
 def by_id(rows) -> list[tuple]:

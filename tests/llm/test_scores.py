@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.conftest import SCHEMA, SF_SMALL, awkward, words
+from tests.llm.conftest import SCHEMA, SF_SMALL, as_given, awkward, words
 from weirstone.llm import kneser_ney as kn
 from weirstone.llm import nearest_toxic as nt
 from weirstone.llm import queries, soft_mixing
@@ -103,7 +103,7 @@ def test_quality_query(docs, nothing, crowded):
         assert r.base_failed == kn.base_failed(base[0], base[4]) and not (r.kept and r.base_failed)
     assert kn.judge(nothing).collect() == [] and kn.filtered(nothing).collect() == []
     kept = kn.filtered(crowded)
-    assert kept.columns == crowded.columns and {r.doc_id for r in kept.collect()} >= {0, 1, 2, 3}
+    assert as_given(kept, crowded.columns) and {r.doc_id for r in kept.collect()} >= {0, 1, 2, 3}
 
 
 def test_noise_is_rejected_and_clean_text_kept(spark):
@@ -222,7 +222,7 @@ def test_mixing(spark, docs, nothing, crowded):
     assert soft_mixing.rated(docs, labels.limit(0)).count() == len(awkward())
     assert soft_mixing.rated(nothing, labels).collect() == []
     mixed = soft_mixing.mixed(crowded, labels)
-    assert mixed.columns == crowded.columns
+    assert as_given(mixed, crowded.columns)
     assert {r.doc_id for r in mixed.collect()} == {r[0] for r in awkward()}
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirstone.llm.shared import byte_views, small_enough, spool, text_batches, text_of
+from weirstone.llm.shared import byte_views, doc_schema, small_enough, spool, text_batches, text_of, unpacked, whole_row
 
 ORDER, HASH_BITS = 5, 22
 BAND_WIDTH, LEAST_BAND = 8.0, 1.0
@@ -295,10 +295,9 @@ def measured(docs: DataFrame, model: Model, keep: bool, id_col: str = "doc_id",
                 [batch.schema.names[0], "_lang", *names, "base_failed", "bits"],
             )
 
-    first = F.struct(*(F.col(c) for c in docs.columns)).alias("_doc") if keep else F.col(id_col).alias("_doc")
+    first = whole_row(docs) if keep else F.col(id_col).alias("_doc")
     rows = docs.select(first, F.col(lang_col).cast("string").alias("_lang"), text_of(text_col).alias("_text"))
-    kind = rows.schema["_doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_doc {kind}, _lang string, {', '.join(f'{x} bigint' for x in names)}, base_failed boolean, bits double")
+    return rows.mapInArrow(run, doc_schema(rows, f"_lang string, {', '.join(f'{x} bigint' for x in names)}, base_failed boolean, bits double"))
 
 
 def bands(rows: DataFrame) -> DataFrame:
@@ -326,4 +325,4 @@ def judge(docs: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns."""
     rows = spool(measured(docs, fit(docs), keep=True))
-    return judged(rows).where("kept").select(*(F.col("_doc")[c].alias(c) for c in docs.columns))
+    return judged(rows).where("kept").select(*unpacked(docs))

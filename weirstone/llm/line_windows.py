@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirstone.llm import repeats
+from weirstone.llm.shared import doc_schema
 
 WINDOW = 3
 #: Fixed value: what is trimmed off a line.
@@ -63,9 +64,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [without(t, s or [])[0] for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([bool(s) for s in batch.column(2).to_pylist()], pa.bool_())], ["_doc", "_new", "_changed"])
 
-    kind = marked.schema["_doc"].dataType.simpleString()
-    out = marked.select("_doc", repeats.TEXT, "_marks").mapInArrow(run, f"_doc {kind}, _new string, _changed boolean")
-    return out.select(*((F.when(F.col("_changed"), F.col("_new")).otherwise(F.col("_doc")[c]) if c == text_col else F.col("_doc")[c]).alias(c) for c in docs.columns))
+    out = marked.select("_doc", repeats.TEXT, "_marks").mapInArrow(run, doc_schema(marked, "_new string, _changed boolean"))
+    return out.select(*((F.when(F.col("_changed"), F.col("_new")).otherwise(F.col("_doc").getField(c)) if c == text_col else F.col("_doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

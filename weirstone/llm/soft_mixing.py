@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirstone.llm.shared import spool
+from weirstone.llm.shared import spool, unpacked, whole_row
 
 #: Domains and their shares of all tokens: quality (q) and toxicity (t) marks.
 TARGETS = {"q1t0": 0.88, "q1t1": 0.04, "q0t0": 0.06, "q0t1": 0.02}
@@ -181,9 +181,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     filled by repeating what the targets lack. The part of a rate beyond a whole number is decided by a hash of id and text."""
     targets = targets or TARGETS
     classifier = fit_classifier(docs, labels, list(targets), label_domain(), id_col, text_col)
-    columns = F.struct(*(F.col(c) for c in docs.columns)).alias("_doc")
-    rows = spool(classifier.rows(docs.select(columns, F.col(text_col).alias("_body")), "_body").drop("_body"))
+    rows = spool(classifier.rows(docs.select(whole_row(docs), F.col(text_col).alias("_body")), "_body").drop("_body"))
     rate, _, _ = fit_rates(rows, list(targets.values()), 1.0, most, budget)
-    chance = F.pmod(F.xxhash64(F.col("_doc")[id_col], F.col("_doc")[text_col]), F.lit(1_000_003)) / 1_000_003
+    chance = F.pmod(F.xxhash64(F.col("_doc").getField(id_col), F.col("_doc").getField(text_col)), F.lit(1_000_003)) / 1_000_003
     copies = rows.withColumn("_rate", rate).withColumn("_copies", (F.floor("_rate") + F.when(F.col("_rate") - F.floor("_rate") > chance, 1).otherwise(0)).cast("int"))
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*(F.col("_doc")[c].alias(c) for c in docs.columns))
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*unpacked(docs))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirstone.llm import repeats
+from weirstone.llm.shared import doc_schema
 
 MIN_WORDS = 5
 #: What ends a unit, and what counts as white space in one.
@@ -76,10 +77,9 @@ def deduplicated(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
             spans = pa.array([[{"start": b, "end": e} for b, e in s] for _, s in kept], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in kept], pa.string()), spans], ["_doc", "_new", "_removed"])
 
-    kind = marked.schema["_doc"].dataType.simpleString()
-    out = marked.select("_doc", repeats.TEXT, "_marks").mapInArrow(run, f"_doc {kind}, _new string, _removed array<struct<start:bigint,end:bigint>>")
+    out = marked.select("_doc", repeats.TEXT, "_marks").mapInArrow(run, doc_schema(marked, "_new string, _removed array<struct<start:bigint,end:bigint>>"))
     same = F.size("_removed") == 0
-    return out.select(*((F.when(same, F.col("_doc")[c]).otherwise(F.col("_new")) if c == text_col else F.col("_doc")[c]).alias(c) for c in docs.columns if c != "removed"), F.col("_removed").alias("removed"))
+    return out.select(*((F.when(same, F.col("_doc").getField(c)).otherwise(F.col("_new")) if c == text_col else F.col("_doc").getField(c)).alias(c) for c in docs.columns if c != "removed"), F.col("_removed").alias("removed"))
 
 
 def digests(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
