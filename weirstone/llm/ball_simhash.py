@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirstone.llm.shared import parts, run_bounds, spool, text_batches, text_of
+from weirstone.llm.shared import parts, run_bounds, spool, text_batches, text_of, unpacked, whole_row
 
 RADIUS = 3
 SEED = 42
@@ -149,7 +149,8 @@ def links(fps: DataFrame) -> DataFrame:
             held = ([keys[cut:]], [own[cut:]])
         yield match(np.concatenate([none, *held[0]]), np.concatenate([none, *held[1]]))
 
-    keyed = fps.select("fp").mapInArrow(emit, "key bigint, fp bigint")
+    # a fingerprint makes 196 rows: dealt out beforehand, as few tasks would be enough for the fingerprints themselves
+    keyed = fps.select("fp").repartition(parts(spark), "fp").mapInArrow(emit, "key bigint, fp bigint")
     return keyed.repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
@@ -197,8 +198,9 @@ def keep_one(docs: DataFrame, words_in_shingle: int = 3, id_col: str = "doc_id",
 
     Rows whose id is null are components' members like others and stay only if their component has no id at all.
     """
-    rows = spool(docs.withColumn("_row", F.monotonically_increasing_id()))
-    marks = near_duplicates(rows.select(F.col("_row"), F.col(text_col)), words_in_shingle, "_row", text_col)
-    ranked = marks.join(rows.select("_row", F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(text_col).alias("_text")), marks.doc_id == F.col("_row"))
+    rows = spool(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("_row")))
+    text = F.col("_doc").getField(text_col)
+    marks = near_duplicates(rows.select("_row", text.alias("_body")), words_in_shingle, "_row", "_body")
+    ranked = marks.join(rows.select("_row", F.col("_doc").getField(id_col).cast("bigint").alias("_id"), F.xxhash64(text).alias("_text")), marks.doc_id == F.col("_row"))
     best = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
-    return rows.join(best, "_row", "left_semi").select(*docs.columns)
+    return rows.join(best, "_row", "left_semi").select(*unpacked(docs))
