@@ -81,7 +81,7 @@ def test_piece_query(docs, nothing, crowded):
 def test_word_ids_are_the_librarys():
     own, library = id_shards.WordIds(WORDS), Tokenizer.from_file(WORDS)
     assert own.by_word
-    many = texts(3000, [*"abΣS  \n\t\r\x0b\x1c　́é'sÉ中😀\0 x.,<>09", "<|endoftext|>", "<|startoftext|>", "'s", " the"], 14, 3)
+    many = texts(3000, [*"İıŉabΣS  \n\t\r\x0b\x1c　́é'sÉ中😀\0 x.,<>09", "<|endoftext|>", "<|startoftext|>", "'s", " the"], 14, 3)
     assert own.encode(many) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in many]
     other = id_shards.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
     assert not other.by_word and len(other.encode(["a b"])[0]) == 4

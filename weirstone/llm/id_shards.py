@@ -27,8 +27,10 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from itertools import chain, pairwise
 
 import numpy as np
@@ -65,6 +67,22 @@ def _byte_chars() -> list[str]:
 BYTE_CHARS = _byte_chars()
 
 
+class Kept(dict):
+    """A bounded table that makes what it lacks."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.make(word)
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
+
 class WordIds:
     """Encodes with a tokenizers file; where its rules can't look over a space, words are encoded once and kept."""
 
@@ -76,9 +94,11 @@ class WordIds:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.by_word = self._within_words(spec)
-        self.kind = f"<u{self.width}"
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        code = "H" if self.width == 2 else "I"
+        self.pack = lambda ids: array(code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, f"<u{self.width}").tobytes()
+        self.model = self.library.model
+        self.words, self.stems = Kept(self._word), Kept(self._stem)
+        self.tails = dict(zip(",.", self._bytes([",", "."]), strict=True))
 
     @staticmethod
     def _within_words(spec: dict) -> bool:
@@ -106,43 +126,27 @@ class WordIds:
         at = (at * self.width).tolist()
         return [data[b:e] for b, e in pairwise(at)]
 
-    def _learn(self, missing: set[str]) -> None:
-        """Ids of words. A Latin word with or without a comma or full stop is cut as the file's own pattern does, put into lower
-        case and handed to the model alone; all others go the library's whole way."""
-        whole, model, stems, later = [], self.library.model, self.stems, []
-        for word in missing:
-            stem, tail = (word[:-1], word[-1]) if word[-1] in ",." else (word, "")
-            if stem.isalpha() and max(stem) < "\u0250":
-                stem = stem.lower()
-                ids = stems.get(stem)
-                if ids is None:
-                    chars = stem if stem.isascii() else "".join(map(BYTE_CHARS.__getitem__, stem.encode()))
-                    ids = stems[stem] = np.array([t.id for t in model.tokenize(chars)], self.kind).tobytes()
-                later.append((word, ids, tail))
-            else:
-                whole.append(word)
-        tails = dict(zip(("", ",", "."), (b"", *self._bytes([",", "."])), strict=True))
-        self.words.update((w, ids + tails[t]) for w, ids, t in later)
-        self.words.update(zip(whole, self._bytes(whole), strict=True))
+    def _stem(self, stem: str) -> bytes:
+        """Ids of a Latin word in lower case, from the model alone."""
+        chars = stem if stem.isascii() else "".join(map(BYTE_CHARS.__getitem__, stem.encode()))
+        return self.pack([t.id for t in self.model.tokenize(chars)])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word. A Latin word with or without a comma or full stop is cut as the file's own pattern does and put into
+        lower case; all others go the library's whole way."""
+        tail = self.tails.get(word[-1], b"")
+        stem = (word[:-1] if tail else word).lower()
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):  # no marks, and nothing that composes
+            return self.stems[stem] + tail
+        return self._bytes([word])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, serialised."""
         if not self.by_word:
             return self._bytes(texts)
+        get = self.words.__getitem__
         # split() also splits at four control characters that are no white space for the file's pattern
-        split = [[w for w in t.replace("\n", " ").split(" ") if w] if any(c in t for c in CONTROLS) else t.split() for t in texts]
-        distinct = set().union(*split)
-        missing = distinct.difference(self.words)
-        if len(self.words) + len(missing) > KEPT_WORDS:
-            self.words.clear()
-            self.stems.clear()
-            missing = distinct
-        self._learn(missing)
-        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        for w in missing:
-            if len(w) > KEPT_CHARS:
-                del self.words[w]
-        return out
+        return [b"".join(map(get, [w for w in t.replace("\n", " ").split(" ") if w] if any(c in t for c in CONTROLS) else t.split())) for t in texts]
 
 
 _encoders: dict[str, WordIds] = {}
