@@ -11,9 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
-
-from tests.llm.conftest import SCHEMA, awkward, by_id, words
+from tests.llm.conftest import SCHEMA, as_given, awkward, by_id, words
 from weirstone.llm import ball_simhash, line_windows, run_index, unit_hashes
 
 
@@ -54,7 +52,7 @@ def test_simhash_query(docs, nothing, crowded):
     assert by_id(ball_simhash.near_duplicates(crowded).collect()) == by_id(want)
     assert ball_simhash.near_duplicates(nothing).collect() == []
     kept = ball_simhash.keep_one(crowded)
-    assert kept.columns == crowded.columns
+    assert as_given(kept, crowded.columns)
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").select("doc_id").collect()) == sorted({w[2] for w in want if w[2] is not None})
 
 
@@ -121,7 +119,7 @@ def test_line_windows_literal(spark, crowded):
     got = {r.doc_id: r.text for r in line_windows.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: f"x\n{three}\ny", 2: "\nz", 3: "q\nq\nq\n", 4: "g", None: ""}
     out = line_windows.deduplicated(crowded)
-    assert out.columns == crowded.columns and out.count() == len(awkward())
+    assert as_given(out, crowded.columns) and out.count() == len(awkward())
     assert out.where("doc_id = 100").first().text is None
 
 
@@ -132,7 +130,7 @@ def test_units_literal(spark, crowded):
     assert out == {1: (rows[1][1], []), 2: ("short\nend", [(0, len(long) + 1)])}
     paragraphs = spark.createDataFrame([(1, "a b c d e\nf\n\n\nx"), (2, "y\n\na b c d e\nf")], "doc_id bigint, text string")
     assert {r.doc_id: r.text for r in unit_hashes.deduplicated(paragraphs, "paragraph").collect()} == {1: "a b c d e\nf\n\n\nx", 2: "y\n\n"}
-    assert unit_hashes.deduplicated(crowded).columns == [*(c for c in crowded.columns if c != "removed"), "removed"]
+    assert as_given(unit_hashes.deduplicated(crowded), [*(c for c in crowded.columns if c != "removed"), "removed"])
 
 
 def slow_repeats(rows, length=200):
@@ -179,6 +177,28 @@ def test_anchors_are_the_strings_own():
     assert all(found["one"][300 + s] == found["two"][s] for s in range(701))
 
 
+def test_long_documents_are_cut():
+    """Every string of 200 bytes lies in just one piece, from its start to its end."""
+    offsets = np.array([0, 50, 4000, 4100, 4100, 9000])
+    seen = Counter()
+    for first, last, begin, end in run_index.blocks(offsets, 700):
+        assert end - begin <= 1400 and offsets[first] <= begin and end <= offsets[last]
+        cuts = offsets[first : last + 1] if last - first > 1 else [begin, end]
+        for b, e in zip(cuts[:-1], cuts[1:], strict=True):
+            seen.update(range(int(b), int(e) - 199))
+    assert seen == Counter({s: 1 for b, e in zip(offsets[:-1], offsets[1:], strict=True) for s in range(int(b), int(e) - 199)})
+
+
+def test_repeats_in_long_documents(spark):
+    rng = random.Random(12)
+    long = words(rng, 220_000)
+    passage = words(rng, 80)
+    cut = run_index.BLOCK_BYTES
+    rows = [(1, long[: cut - 100] + passage + long[cut - 100 :]), (2, passage), (3, words(rng, 200))]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in run_index.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(long) > 2 * cut and got == {1: (len(passage), 1), 2: (len(passage), 1), 3: (0, 0)}
+
+
 @pytest.mark.parametrize("group_bytes", [run_index.GROUP_BYTES, 1500])
 def test_byte_repeats(spark, docs, nothing, group_bytes):
     rng = random.Random(2)
@@ -202,15 +222,14 @@ def test_sorted_out_over_batches(spark):
     """Contexts of one anchor that span many batches are judged like any others."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     rng = random.Random(8)
-    rows = [(rng.randrange(6), rng.randrange(4), k, 0, 0, 0) for k in range(60)]
-    df = spark.createDataFrame(rows, "key bigint, ctx bigint, row bigint, at bigint, off int, size int")
+    rows = [(rng.randrange(6), rng.randrange(4), k, 0, 0, 0, 1) for k in range(60)] + [(9, 1, 100, 0, 0, 0, 2), (10, 1, 101, 0, 0, 0, 3), (11, 1, 102, 0, 0, 0, 2), (11, 2, 103, 0, 0, 0, 1)]
+    df = spark.createDataFrame(rows, "key bigint, ctx bigint, row bigint, at bigint, off int, size int, weight int")
     got = run_index.sorted_out(df).collect()
     keys, both = Counter(r[0] for r in rows), Counter(r[:2] for r in rows)
-    whole = {r[2] for r in rows if both[r[:2]] > 1}
-    once = {r[2] for r in rows if both[r[:2]] == 1 and keys[r[0]] > 1}
+    whole = {r[2] for r in rows if both[r[:2]] > 1 or r[6] > 1}
+    once = {r[2] for r in rows if both[r[:2]] == 1 and keys[r[0]] > 1 and r[6] == 1}
     assert {r.row for r in got if r.kind == 0} == whole
     assert {r.row for r in got if r.kind == 1} == once
     ones = Counter((r.key, r.ctx) for r in got if r.kind == 2)
     distinct = {k: {c for kk, c in both if kk == k} for k, _ in both}
-    assert ones == Counter(kc for kc, n in both.items() if n > 1 and len(distinct[kc[0]]) > 1)
-    assert F.lit(1) is not None
+    assert ones == Counter(kc for kc, n in both.items() if (n > 1 or kc == (11, 1)) and len(distinct[kc[0]]) > 1)

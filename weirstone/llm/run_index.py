@@ -44,7 +44,9 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 PACKED = 7  # characters of nine bits that a first sort looks at
 PLACE_BITS = 28  # of a place in a block; the other bits hold the hash that is compared
-CONTEXT = [("key", pa.int64()), ("ctx", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("off", pa.int32()), ("size", pa.int32())]
+CONTEXT = [("key", pa.int64()), ("ctx", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("off", pa.int32()), ("size", pa.int32()), ("weight", pa.int32())]
+#: Weights of context rows: seen once, seen more often in the task that found it, and no context but a repeated interval.
+ONCE, OFTEN, MARK = 1, 2, 3
 
 
 # -- anchors ----------------------------------------------------------------------------------------------------------
@@ -109,32 +111,66 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[place[bounds[:-1]]], place[bounds[:-1]], starts[bounds[:-1]], starts[bounds[1:] - 1]
 
 
+def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, int, int]]:
+    """First and last document, begin and end in bytes, of pieces of about so many bytes. A long document is cut so that each string
+    of LENGTH bytes starts in just one piece and lies in it: anchors are the strings' own, so cuts don't change them."""
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+        begin, end = int(offsets[first]), int(offsets[last])
+        if end - begin <= 2 * size:
+            yield first, last, begin, end
+        else:  # one document alone
+            for at in range(begin, end - LENGTH + 1, size):
+                yield first, last, at, min(at + size + LENGTH - 1, end)
+        first = last
+
+
+def hashes_of(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Keys that spread intervals over the tasks."""
+    h = (rows.astype(np.uint64) << np.uint64(20)) ^ places.astype(np.uint64)
+    return (h * np.uint64(BASE) ^ h >> np.uint64(31)).view(np.int64)
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
 def anchor_rows(table: DataFrame) -> DataFrame:
-    """key, ctx, row, at, off, size of every anchor of the rows (_row, _bytes); at and size are those of its context."""
+    """key, ctx, row, at, off, size, weight of every anchor of the rows (_row, _bytes); at and size are those of its context.
+
+    Contexts that a block of text has twice or more are repeated as a whole: one of them goes on for all, and what they cover goes
+    on as merged intervals. So a text of one word over and over costs a row, not one for each word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, (data, offsets) = batch.column(0).to_numpy(), byte_views(batch.column(1))
-            first = 0
-            while first < len(rows):
-                last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1)
-                own, cuts = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-                if len(own) >> PLACE_BITS:
-                    raise ValueError("a text of more than 256 MB")
+            for first, last, begin, end in blocks(offsets):
+                own, shift = data[begin:end], begin - offsets[first]
+                cuts = offsets[first : last + 1] - begin if last - first > 1 else np.array([0, end - begin])
                 key, place, b, e = anchors(own, cuts)
                 doc = np.searchsorted(cuts, b, "right") - 1
                 view, digest = memoryview(np.ascontiguousarray(own)), xxhash.xxh3_64_intdigest
                 stop = e + LENGTH
                 ctx = np.array([digest(view[x:y]) for x, y in zip(b.tolist(), stop.tolist(), strict=True)], np.uint64)
-                columns = (key.view(np.int64), ctx.view(np.int64), rows[first:last][doc], b - cuts[doc], (place - b).astype(np.int32), (stop - b).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, CONTEXT, strict=True)], [n for n, _ in CONTEXT])
-                first = last
-
-    return table.mapInArrow(run, "key bigint, ctx bigint, row bigint, at bigint, off int, size int")
+                _, head, group, times = np.unique(ctx, return_index=True, return_inverse=True, return_counts=True)
+                often = times[group] > 1
+                weight = np.where(often, OFTEN, ONCE)
+                keep = np.sort(head)
+                columns = [(key.view(np.int64), ctx.view(np.int64), rows[first:last][doc], b - cuts[doc] + shift, place - b, stop - b, weight)]
+                columns = [[c[keep] for c in columns[0]]]
+                again = np.flatnonzero(often)
+                if len(again):
+                    bb, ee, dd = b[again], stop[again], doc[again]
+                    new = np.append(True, (dd[1:] != dd[:-1]) | (bb[1:] > ee[:-1]))
+                    head, tail, of = bb[new], ee[np.append(new[1:], True)], dd[new]
+                    lone = hashes_of(rows[first:last][of], head + begin)
+                    columns.append([lone, lone, rows[first:last][of], head - cuts[of] + shift, np.zeros(len(head)), tail - head, np.full(len(head), MARK)])
+                for c in columns:
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype()), t) for x, (_, t) in zip(c, CONTEXT, strict=True)], [n for n, _ in CONTEXT])
+
+    return table.mapInArrow(run, "key bigint, ctx bigint, row bigint, at bigint, off int, size int, weight int")
 
 
 def sorted_out(found: DataFrame) -> DataFrame:
@@ -149,7 +185,7 @@ def sorted_out(found: DataFrame) -> DataFrame:
         def judge(table: pa.Table, lead: bool, final: bool) -> Iterator[pa.RecordBatch]:
             """Judges rows between the first (if lead) and the last (unless final), which are known neighbours only."""
             nonlocal before
-            key, ctx, off, size = (table.column(c).to_numpy() for c in ("key", "ctx", "off", "size"))
+            key, ctx, off, size, weight = (table.column(c).to_numpy() for c in ("key", "ctx", "off", "size", "weight"))
             same_key = key[1:] == key[:-1]
             same = same_key & (ctx[1:] == ctx[:-1]) & (off[1:] == off[:-1]) & (size[1:] == size[:-1])
             n = len(key)
@@ -162,9 +198,9 @@ def sorted_out(found: DataFrame) -> DataFrame:
             if lead:
                 later[0] = before
             later = later[run]
-            whole = prev | nxt
+            whole = prev | nxt | (weight > ONCE)
             once = ~whole & (prev_key | next_key)
-            one = whole & ~nxt & (later | next_key)
+            one = whole & ~nxt & (later | next_key) & (weight < MARK)
             mine = np.ones(n, bool)
             mine[0] = not lead
             if not final:
@@ -174,7 +210,7 @@ def sorted_out(found: DataFrame) -> DataFrame:
                 at = np.flatnonzero(chosen & mine)
                 if len(at):
                     some = table.take(pa.array(at)).combine_chunks()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *(some.column(c).chunk(0) for c in names)], ["kind", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *(some.column(c).chunk(0) for c in names[:-1])], ["kind", *names[:-1]])
 
         lead = False
         for batch in batches:
