@@ -33,6 +33,7 @@ TARGETS = {"q1t0": 0.88, "q1t1": 0.04, "q0t0": 0.06, "q0t1": 0.02}
 FIT_ROWS, MARKERS = 20_000, 128
 #: A marker is in so many labelled documents at least.
 LEAST_DOCS = 5
+SMOOTHING = 2.0
 STEPS, TOLERANCE = 40, 1e-6
 #: Upper ends of the shape features' bins.
 BINS = {
@@ -76,17 +77,17 @@ def described(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 class Classifier:
-    """Naive Bayes: log priors, log likelihoods of bins and of marker words, for each domain."""
+    """Naive Bayes: log priors, log likelihoods of bins, and of marker words how much likelier each domain makes them. A missing
+    marker says nothing: markers come in bundles, whose absence would be counted many times."""
 
-    def __init__(self, domains: list[str], prior: list[float], bins: list[list[list[float]]], base: list[float], words: dict[str, list[float]]):
-        self.domains, self.prior, self.bins, self.base, self.words = domains, prior, bins, base, words
+    def __init__(self, domains: list[str], prior: list[float], bins: list[list[list[float]]], words: dict[str, list[float]]):
+        self.domains, self.prior, self.bins, self.words = domains, prior, bins, words
 
     def posterior(self) -> Column:
         """An array of probabilities in the order of the domains, of rows that described() made."""
-        start = [p + b for p, b in zip(self.prior, self.base, strict=True)]
         logs = []
         for d in range(len(self.domains)):
-            at = F.lit(start[d])
+            at = F.lit(self.prior[d])
             for f in range(len(BINS)):
                 at = at + F.element_at(F.array(*(F.lit(x[d]) for x in self.bins[f])), F.element_at("_bins", f + 1))
             logs.append(at)
@@ -110,12 +111,22 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], domai
     known = labels.select(F.col(id_col).cast("bigint").alias("_key"), domain.alias("_domain")).where(F.col("_key").isNotNull() & F.col("_domain").isin(domains))
     few = known.groupBy("_key").agg(F.min("_domain").alias("_domain")).orderBy(F.xxhash64("_key"), "_key").limit(FIT_ROWS)
     rows = docs.select(F.col(id_col).cast("bigint").alias("_key"), F.col(text_col).alias("_body")).join(F.broadcast(few), "_key")  # few has FIT_ROWS pairs at most
-    seen = spool(described(rows, "_body").select("_domain", "_bins", "_words"))
+    ordered = F.filter(F.split(F.lower(F.coalesce(F.col("_body"), F.lit(""))), BETWEEN), lambda w: w != "")
+    pairs = F.zip_with(ordered, F.slice(ordered, 2, F.size(ordered)), lambda a, b: F.xxhash64(a, b))
+    sketch = F.coalesce(F.array_min(pairs), F.xxhash64("_body"))
+    # texts that share their least word-pair hash are copies and near copies: one of them speaks for all
+    every = spool(described(rows.withColumn("_sketch", sketch), "_body").select("_domain", "_sketch", "_key", "_bins", "_words"))
+    one = every.groupBy("_sketch", "_domain").agg(F.min(F.struct("_key", "_bins", "_words")).alias("_one"))
+    seen = spool(one.select("_domain", "_one._bins", "_one._words"))
     sizes = {r["_domain"]: r["count"] for r in seen.groupBy("_domain").count().collect()}
     total = sum(sizes.values())
-    prior = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
+    often = {r["_domain"]: r["count"] for r in every.groupBy("_domain").count().collect()}
+    prior = [math.log((often.get(d, 0) + 1) / (sum(often.values()) + len(domains))) for d in domains]
     counts = {(r.f, r.b, r["_domain"]): r.n for r in seen.select("_domain", F.posexplode("_bins").alias("f", "b")).groupBy("f", "b", "_domain").agg(F.count("*").alias("n")).collect()}
-    bins = [[[math.log((counts.get((f, b + 1, d), 0) + 1) / (sizes.get(d, 0) + len(ends) + 1)) for d in domains] for b in range(len(ends) + 1)] for f, ends in enumerate(BINS.values())]
+    bins = []
+    for f, ends in enumerate(BINS.values()):
+        all_of = [(sum(counts.get((f, b, d), 0) for d in domains) + 1) / (total + len(ends) + 1) for b in range(1, len(ends) + 2)]
+        bins.append([[math.log((counts.get((f, b, d), 0) + SMOOTHING * all_of[b - 1]) / (sizes.get(d, 0) + SMOOTHING)) for d in domains] for b in range(1, len(ends) + 2)])
 
     def gain(k: Column, d: str) -> Column:
         """What a word says of a domain: log likelihood ratio of its documents inside and outside."""
@@ -128,10 +139,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], domai
     by_word = seen.select("_domain", F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("_domain") == d, 1)).alias(f"k{i}") for i, d in enumerate(domains)))
     good = by_word.where(F.col("n") >= LEAST_DOCS).withColumn("gain", F.greatest(*(gain(F.col(f"k{i}"), d) for i, d in enumerate(domains))) if len(domains) > 1 else F.lit(0.0))
     top = good.orderBy(F.col("gain").desc(), "word").limit(MARKERS).collect()
-    has = {r.word: [(r[f"k{i}"] + 0.5) / (sizes.get(d, 0) + 1) for i, d in enumerate(domains)] for r in top}
-    words = {w: [math.log(p / (1 - p)) for p in ps] for w, ps in has.items()}
-    base = [sum(math.log(1 - ps[i]) for ps in has.values()) for i in range(len(domains))]
-    return Classifier(domains, prior, bins, base, words)
+    words = {}
+    for r in top:
+        share = r.n / total  # what a domain without such documents is taken to have
+        words[r.word] = [math.log((r[f"k{i}"] + SMOOTHING * share) / (sizes.get(d, 0) + SMOOTHING) / share) for i, d in enumerate(domains)]
+    return Classifier(domains, prior, bins, words)
 
 
 def rate_of(steps: list[list[float]], least: float, most: float) -> Column:
