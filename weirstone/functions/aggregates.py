@@ -39,7 +39,7 @@ class Reduce:
 
     def column(self) -> Column:
         """The aggregate in one step."""
-        return finish(self.kind, {p: c for p, c in partials(F.col(self.field)).items()}).alias(self.name)
+        return finish(self.kind, partials(F.col(self.field))).alias(self.name)
 
 
 def partials(value: Column) -> dict[str, Column]:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirstone.errors import ConfigurationError, SchemaError
-from weirstone.operators.windows import ID, Windowed, assigned
+from weirstone.functions.aggregates import Reduce, finish
+from weirstone.functions.key_hash import key_hash
+from weirstone.operators.windows import ID, MS, Session, Windowed, assigned, session_marks
 from weirstone.types import Component, parse_schema
 
 #: The fields of the state rows.
@@ -30,10 +32,6 @@ KEY = ["source_component", "window_id", "key_hash"]
 
 def accumulated(op: Windowed, df: DataFrame, watermark: int | None = None) -> DataFrame:
     """State rows of one run's rows."""
-    from weirstone.functions.aggregates import Reduce
-    from weirstone.functions.key_hash import key_hash
-    from weirstone.operators.windows import MS, Session, session_marks
-
     if not isinstance(op.function, Reduce):
         raise ConfigurationError("only reduced windows have accumulators")
     rows = op.prepared(df)
@@ -71,8 +69,6 @@ def merge(state: DataFrame, new: DataFrame, mode: str = "merge") -> DataFrame:
 
 def value(kind: str) -> Column:
     """A window aggregate from state rows; count counts values here, as state rows keep no null ones."""
-    from weirstone.functions.aggregates import finish
-
     return finish(kind, {"rows": F.col("count"), "values": F.nullif(F.col("count"), F.lit(0)), "sum": F.col("sum_f64"), "min": F.col("min_f64"), "max": F.col("max_f64")})
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,8 +91,6 @@ def column_sum(spark: SparkSession, folder: str) -> DataFrame:
 
 def gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Ranges [first, after) of order keys that no order covers: neighbours more than one apart."""
-    from pyspark.sql import Window
-
     o = table(spark, folder, "orders").where("o_orderkey % 10 < 8").select("o_orderkey").distinct()
     # neighbours within a block of keys, and blocks' ends among themselves, so that no task sorts all keys
     block = F.floor(F.col("o_orderkey") / 4096)
