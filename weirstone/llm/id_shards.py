@@ -266,7 +266,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
 def read(spark: SparkSession, folder: str, dictionary: bytes) -> DataFrame:
     """From the shards: doc_id, start, n_tokens and ids_crc32 of every document."""
     table = spark.read.parquet(folder)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # whole shards
+    text_batches(spark)
     totals = sorted((r.bucket, r.n) for r in table.groupBy("bucket").agg(F.sum("n").alias("n")).collect())  # a row for each bucket
     sums = np.concatenate(([0], np.cumsum([n for _, n in totals], dtype=np.int64)))
     bases = {b: int(s) for (b, _), s in zip(totals, sums, strict=False)}

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch sent to Python where whole texts travel: a few MB.
-TEXT_BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch sent to Python where whole texts travel: a few MB.
+TEXT_BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 #: Input bytes that one task of a shuffle by key is meant to take.
 TASK_BYTES = 32 << 20
 
@@ -63,8 +63,9 @@ def spool(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts must stay small whatever the session's row count is."""
+    """Arrow batches of whole texts must stay small whatever the session's row count is; long rows end a batch by their bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_of(col: str = "text") -> Column:
