@@ -48,8 +48,8 @@ def without(text: str, starts: list[int]) -> tuple[str, int]:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = repeats.numbered(docs, id_col, text_col)
-    found = repeats.later(repeats.occurrences(rows, windows))
+    rows = repeats.numbered(docs, id_col)
+    found = repeats.later(repeats.occurrences(rows, text_col, windows))
     ahead = F.col("first_unit") + WINDOW - F.col("unit")  # lines of the earliest window that this one begins with
     spared = F.when((F.col("first_row") == F.col(repeats.ROW)) & (ahead > 0), F.least(ahead, F.lit(WINDOW))).otherwise(0)
     return repeats.with_lists(rows, found.select(repeats.ROW, (F.col("unit") * 4 + spared).alias("start")), "start")
@@ -61,11 +61,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [without(t, s or [])[0] for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([bool(s) for s in batch.column(2).to_pylist()], pa.bool_())], ["_doc", "_new", "_changed"])
+            texts = [None if s is None else without(t, s)[0] for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_doc", "_new"])
 
-    out = marked.select("_doc", repeats.TEXT, "_marks").mapInArrow(run, doc_schema(marked, "_new string, _changed boolean"))
-    return out.select(*((F.when(F.col("_changed"), F.col("_new")).otherwise(F.col("_doc").getField(c)) if c == text_col else F.col("_doc").getField(c)).alias(c) for c in docs.columns))
+    text = F.when(F.col("_marks").isNotNull(), repeats.text_in(text_col)).alias(repeats.TEXT)  # of changed rows alone
+    out = marked.select("_doc", text, "_marks").mapInArrow(run, doc_schema(marked, "_new string"))
+    return out.select(*((F.coalesce("_new", F.col("_doc").getField(c)) if c == text_col else F.col("_doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,7 +82,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 ["doc_id", "n_lines", "n_removed", "kept_sha256"],
             )
 
-    return marked.select("_id", repeats.TEXT, "_marks").mapInArrow(run, "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string")
+    return marked.select("_id", repeats.text_in(text_col), "_marks").mapInArrow(run, "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string")
 
 
 ORACLE = r"""

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirstone.llm.shared import spool, text_batches, whole_row
@@ -20,13 +20,17 @@ from weirstone.llm.shared import spool, text_batches, whole_row
 ROW, TEXT = "_row", "_text"
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows in a shared table, each with a number of its own, its rank (null ids last) and its text as _text (null: empty)."""
-    rows = docs.select(whole_row(docs), F.monotonically_increasing_id().alias(ROW), F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(TEXT))
-    return spool(rows)
+def numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """The rows in a shared table as _doc, each with a number of its own and its rank (null ids last)."""
+    return spool(docs.select(whole_row(docs), F.monotonically_increasing_id().alias(ROW), F.col(id_col).cast("bigint").alias("_id")))
 
 
-def occurrences(rows: DataFrame, units: Callable[[str], Iterator[tuple[int, str]]]) -> DataFrame:
+def text_in(text_col: str) -> Column:
+    """The text of a numbered row (null: empty)."""
+    return F.coalesce(F.col("_doc").getField(text_col).cast("string"), F.lit("")).alias(TEXT)
+
+
+def occurrences(rows: DataFrame, text_col: str, units: Callable[[str], Iterator[tuple[int, str]]]) -> DataFrame:
     """_row, _id, unit, hi, lo: the digests of units(text), which gives unit numbers and normalised texts."""
     text_batches(rows.sparkSession)
 
@@ -44,7 +48,7 @@ def occurrences(rows: DataFrame, units: Callable[[str], Iterator[tuple[int, str]
                     [ROW, "_id", "unit", "hi", "lo"],
                 )
 
-    return rows.select(ROW, "_id", TEXT).mapInArrow(run, f"{ROW} bigint, _id bigint, unit int, hi bigint, lo bigint")
+    return rows.select(ROW, "_id", text_in(text_col)).mapInArrow(run, f"{ROW} bigint, _id bigint, unit int, hi bigint, lo bigint")
 
 
 def later(found: DataFrame) -> DataFrame:

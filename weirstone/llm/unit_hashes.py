@@ -50,8 +50,8 @@ def _marked(docs: DataFrame, unit: str, min_words: int, id_col: str, text_col: s
             if own and own.count(" ") + 1 >= min_words:
                 yield k, own
 
-    rows = repeats.numbered(docs, id_col, text_col)
-    return repeats.with_lists(rows, repeats.later(repeats.occurrences(rows, units)), "unit")
+    rows = repeats.numbered(docs, id_col)
+    return repeats.with_lists(rows, repeats.later(repeats.occurrences(rows, text_col, units)), "unit")
 
 
 def _kept(text: str, marks: list[int] | None, unit: str) -> tuple[str, list[tuple[int, int]]]:
@@ -73,13 +73,13 @@ def deduplicated(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [_kept(t, m, unit) for t, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            kept = [(None, []) if m is None else _kept(t, m, unit) for t, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             spans = pa.array([[{"start": b, "end": e} for b, e in s] for _, s in kept], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in kept], pa.string()), spans], ["_doc", "_new", "_removed"])
 
-    out = marked.select("_doc", repeats.TEXT, "_marks").mapInArrow(run, doc_schema(marked, "_new string, _removed array<struct<start:bigint,end:bigint>>"))
-    same = F.size("_removed") == 0
-    return out.select(*((F.when(same, F.col("_doc").getField(c)).otherwise(F.col("_new")) if c == text_col else F.col("_doc").getField(c)).alias(c) for c in docs.columns if c != "removed"), F.col("_removed").alias("removed"))
+    text = F.when(F.col("_marks").isNotNull(), repeats.text_in(text_col)).alias(repeats.TEXT)  # of changed rows alone
+    out = marked.select("_doc", text, "_marks").mapInArrow(run, doc_schema(marked, "_new string, _removed array<struct<start:bigint,end:bigint>>"))
+    return out.select(*((F.coalesce("_new", F.col("_doc").getField(c)) if c == text_col else F.col("_doc").getField(c)).alias(c) for c in docs.columns if c != "removed"), F.col("_removed").alias("removed"))
 
 
 def digests(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,7 +102,7 @@ def digests(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_
                 ["doc_id", "n_units", "n_removed", "removed_chars", "removed_spans", "kept_sha256"],
             )
 
-    return marked.select("_id", repeats.TEXT, "_marks").mapInArrow(run, "doc_id bigint, n_units bigint, n_removed bigint, removed_chars bigint, removed_spans string, kept_sha256 string")
+    return marked.select("_id", repeats.text_in(text_col), "_marks").mapInArrow(run, "doc_id bigint, n_units bigint, n_removed bigint, removed_chars bigint, removed_spans string, kept_sha256 string")
 
 
 ORACLE = r"""
