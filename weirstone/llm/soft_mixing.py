@@ -60,10 +60,14 @@ def _bin(value: Column, ends: list[float]) -> Column:
     return out
 
 
-def described(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows with _words (distinct, lower case), _tokens and _bins (one number for each shape feature)."""
+def described(docs: DataFrame, text_col: str, sketched: bool = False) -> DataFrame:
+    """The rows with _words (distinct, lower case), _tokens and _bins (one number for each shape feature); sketched: also _sketch,
+    the least hash of two words in a row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.withColumn("_text", text).withColumn("_all", F.filter(F.split(F.lower("_text"), BETWEEN), lambda w: w != "")).withColumn("_words", F.array_distinct("_all"))
+    if sketched:
+        pairs = F.zip_with("_all", F.slice("_all", F.lit(2), F.size("_all")), lambda a, b: F.hash(a, b))
+        rows = rows.withColumn("_sketch", F.coalesce(F.array_min(pairs), F.hash("_text")))
     n, chars = F.size("_all"), F.greatest(F.length("_text"), F.lit(1))
     shape = {
         "words": n,
@@ -111,11 +115,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], domai
     known = labels.select(F.col(id_col).cast("bigint").alias("_key"), domain.alias("_domain")).where(F.col("_key").isNotNull() & F.col("_domain").isin(domains))
     few = known.groupBy("_key").agg(F.min("_domain").alias("_domain")).orderBy(F.xxhash64("_key"), "_key").limit(FIT_ROWS)
     rows = docs.select(F.col(id_col).cast("bigint").alias("_key"), F.col(text_col).alias("_body")).join(F.broadcast(few), "_key")  # few has FIT_ROWS pairs at most
-    ordered = F.filter(F.split(F.lower(F.coalesce(F.col("_body"), F.lit(""))), BETWEEN), lambda w: w != "")
-    pairs = F.zip_with(ordered, F.slice(ordered, 2, F.size(ordered)), lambda a, b: F.xxhash64(a, b))
-    sketch = F.coalesce(F.array_min(pairs), F.xxhash64("_body"))
     # texts that share their least word-pair hash are copies and near copies: one of them speaks for all
-    every = spool(described(rows.withColumn("_sketch", sketch), "_body").select("_domain", "_sketch", "_key", "_bins", "_words"))
+    every = spool(described(rows, "_body", sketched=True).select("_domain", "_sketch", "_key", "_bins", "_words"))
     one = every.groupBy("_sketch", "_domain").agg(F.min(F.struct("_key", "_bins", "_words")).alias("_one"))
     seen = spool(one.select("_domain", "_one._bins", "_one._words"))
     sizes = {r["_domain"]: r["count"] for r in seen.groupBy("_domain").count().collect()}
