@@ -114,6 +114,16 @@ def test_noise_is_rejected_and_clean_text_kept(spark):
     assert all(out[k] for k in range(150)) and not out[1000] and not out[1001]
 
 
+def test_bands_reject_long_texts_that_are_a_little_odd(spark):
+    rng = random.Random(21)
+    good = [(k, words(rng, rng.randrange(12, 500), "etaoin"), "en", "s", 0) for k in range(300)]
+    bad = [(1000 + k, " ".join(w + rng.choice(["***", " |", "###"]) if j % 3 == 0 else w for j, w in enumerate(words(rng, 400, "etaoin").split())), "en", "s", 0) for k in range(6)]
+    copies = [(2000 + k, good[0][1], "en", "s", 0) for k in range(700)]
+    out = {r.doc_id: r for r in kn.judge(spark.createDataFrame(good + bad + copies, SCHEMA)).collect()}
+    assert not any(out[1000 + k].kept or out[1000 + k].base_failed for k in range(6))
+    assert sum(out[k].kept for k in range(300)) >= 295 and all(r.low < r.high for r in out.values())
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     vectors = []

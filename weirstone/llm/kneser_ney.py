@@ -9,8 +9,10 @@ whatever the corpus holds; n-grams that share a hash share their counts. This bo
 ORDER * 2 * 2**HASH_BITS * 8 bytes (336 MB at the default of 2**22), and in practice it is a few MB.
 
 A document's perplexity is 2 ** (mean bits a byte). A language's band is centred on the median of log2(perplexity) of its
-documents that pass the base rules; its lower and upper end lie BAND_WIDTH robust deviations (1.4826 times the
-median absolute deviation) away, at least LEAST_BAND bits and at most, for the upper end, no bound of its own.
+distinct texts that pass the base rules. The mean over n bytes spreads as 1 / sqrt(n), so the deviations are measured times sqrt(n), and the
+band of a document ends LOW_WIDTH below and HIGH_WIDTH above the centre in robust deviations (1.4826 times the median absolute
+deviation) divided by sqrt(n): a long text that is a little odd throughout leaves it, a short one doesn't. Fewer than
+LEAST_TEXTS distinct texts, or ones without spread, tell no deviation; there the ends are LEAST_BAND bits away.
 
 Defined cases: a null text counts as empty, has no words and fails the base rules; a null language is a language of its own; rows with
 equal ids are judged one by one; an empty table gives an empty result; other columns stay as they are in filtered().
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from weirstone.llm.shared import byte_views, doc_schema, small_enough, spool, text_batches, text_of, unpacked, whole_row
 
 ORDER, HASH_BITS = 5, 22
-BAND_WIDTH, LEAST_BAND = 8.0, 1.0
+LOW_WIDTH, HIGH_WIDTH = 5.0, 3.0
+LEAST_TEXTS, LEAST_BAND = 20, 1.0
 #: Words, symbols, the words of a window, and the limits of the base rules.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -291,29 +294,32 @@ def measured(docs: DataFrame, model: Model, keep: bool, id_col: str = "doc_id",
             bits = own.score(data, offsets, np.array([lang_number(x) for x in langs], np.uint64))
             failed = [base_failed(int(c[0]), int(c[4])) for c in counts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column("_lang"), *(pa.array(np.ascontiguousarray(counts[:, k])) for k in range(5)), pa.array(failed), pa.array(bits)],
-                [batch.schema.names[0], "_lang", *names, "base_failed", "bits"],
+                [batch.column(0), batch.column("_lang"), *(pa.array(np.ascontiguousarray(counts[:, k])) for k in range(5)), pa.array(failed), pa.array(bits), pa.array(np.diff(offsets))],
+                [batch.schema.names[0], "_lang", *names, "base_failed", "bits", "_bytes"],
             )
 
     first = whole_row(docs) if keep else F.col(id_col).alias("_doc")
     rows = docs.select(first, F.col(lang_col).cast("string").alias("_lang"), text_of(text_col).alias("_text"))
-    return rows.mapInArrow(run, doc_schema(rows, f"_lang string, {', '.join(f'{x} bigint' for x in names)}, base_failed boolean, bits double"))
+    return rows.mapInArrow(run, doc_schema(rows, f"_lang string, {', '.join(f'{x} bigint' for x in names)}, base_failed boolean, bits double, _bytes bigint"))
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """_of (the language), low and high: the band of log2 perplexity of each language."""
-    good = rows.where(~F.col("base_failed") & ~F.isnan("bits")).select("_lang", "bits")
+    """_of (the language), middle and unit of each language: the centre of log2 perplexity, and the robust deviation of one byte
+    (null where it isn't known)."""
+    good = rows.where(~F.col("base_failed") & ~F.isnan("bits")).groupBy("_lang", "_bytes", F.round("bits", 6).alias("about")).agg(F.min("bits").alias("bits"))  # copies count once
     middle = good.groupBy(F.col("_lang").alias("_of")).agg(F.percentile_approx("bits", 0.5, 10_000).alias("middle"))
-    off = good.join(middle, F.col("_lang").eqNullSafe(F.col("_of"))).select("_of", "middle", F.abs(F.col("bits") - F.col("middle")).alias("off"))
-    width = F.greatest(F.lit(LEAST_BAND), BAND_WIDTH * 1.4826 * F.percentile_approx("off", 0.5, 10_000))
-    return off.groupBy("_of", "middle").agg(width.alias("width")).select("_of", (F.col("middle") - F.col("width")).alias("low"), (F.col("middle") + F.col("width")).alias("high"))
+    off = good.join(middle, F.col("_lang").eqNullSafe(F.col("_of"))).select("_of", "middle", (F.abs(F.col("bits") - F.col("middle")) * F.sqrt("_bytes")).alias("off"))
+    unit = 1.4826 * F.percentile_approx("off", 0.5, 10_000)
+    return off.groupBy("_of", "middle").agg(F.when((F.count("*") >= LEAST_TEXTS) & (unit > 0), unit).alias("unit"))
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """The measured rows with their language's band and kept."""
-    inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
+    """The measured rows with low and high, the ends of their band, and kept."""
     ends = small_enough(spool(bands(rows)))  # a row for each language
-    return rows.join(ends, F.col("_lang").eqNullSafe(F.col("_of")), "left").withColumn("kept", ~F.col("base_failed") & inside).drop("_of")
+    width = lambda times: F.coalesce(times * F.col("unit") / F.sqrt("_bytes"), F.lit(LEAST_BAND))
+    out = rows.join(ends, F.col("_lang").eqNullSafe(F.col("_of")), "left").withColumn("low", F.col("middle") - width(LOW_WIDTH)).withColumn("high", F.col("middle") + width(HIGH_WIDTH))
+    inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & inside).drop("_of", "middle", "unit", "_bytes")
 
 
 def judge(docs: DataFrame) -> DataFrame:
