@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 from tests.llm.conftest import SCHEMA, as_given, awkward, by_id, words
-from weirstone.llm import ball_simhash, line_windows, run_index, unit_hashes
+from weirstone.llm import ball_simhash, line_windows, near_copies, run_index, unit_hashes
 
 
 def slow_fingerprint(text):
@@ -56,6 +56,36 @@ def test_simhash_query(docs, nothing, crowded):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").select("doc_id").collect()) == sorted({w[2] for w in want if w[2] is not None})
 
 
+def test_near_copies_equal_brute_force(spark, nothing, crowded):
+    import corpus_pipeline
+
+    def slow_set(text):
+        own = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+        return {" ".join(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else set()
+
+    rng = random.Random(17)
+    rows = []
+    for k in range(60):
+        base = words(rng, rng.randrange(60, 200)).split()
+        rows.append(" ".join(base))
+        for _ in range(4):  # changes in one stretch or a few places: similarities on both sides of 0.8
+            own = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                at, n = rng.randrange(len(own)), rng.randrange(1, 8)
+                own[at : at + n] = words(rng, n).split()
+            rows.append(" ".join(own))
+    rows += ["", " ", "one two", "One  two", "one two three"]
+    rows = list(dict.fromkeys(rows))
+    sets = [slow_set(t) for t in rows]
+    roots = slow_components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    assert len(set(roots)) < len(rows) - 50
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(rows)], SCHEMA).repartition(4)
+    kept = corpus_pipeline.simhash_near_dedup(spark, df, "")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(roots))
+    assert near_copies.keep_one(nothing).collect() == []
+    assert as_given(near_copies.keep_one(crowded), crowded.columns)
+
+
 def test_links_in_all_places(spark):
     rng = random.Random(3)
     prints = {rng.getrandbits(64) for _ in range(150)}

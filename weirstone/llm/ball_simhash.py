@@ -199,8 +199,13 @@ def keep_one(docs: DataFrame, words_in_shingle: int = 3, id_col: str = "doc_id",
     Rows whose id is null are components' members like others and stay only if their component has no id at all.
     """
     rows = spool(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("_row")))
+    marks = near_duplicates(rows.select("_row", F.col("_doc").getField(text_col).alias("_body")), words_in_shingle, "_row", "_body")
+    return firsts(rows, marks, id_col, text_col).select(*unpacked(docs))
+
+
+def firsts(rows: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One of the rows (_doc, _row) of each component; marks has the row (doc_id) and component_id of each."""
     text = F.col("_doc").getField(text_col)
-    marks = near_duplicates(rows.select("_row", text.alias("_body")), words_in_shingle, "_row", "_body")
     ranked = marks.join(rows.select("_row", F.col("_doc").getField(id_col).cast("bigint").alias("_id"), F.xxhash64(text).alias("_text")), marks.doc_id == F.col("_row"))
     best = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
-    return rows.join(best, "_row", "left_semi").select(*unpacked(docs))
+    return rows.join(best, "_row", "left_semi")
