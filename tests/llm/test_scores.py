@@ -94,6 +94,17 @@ def test_kneser_ney_equals_the_slow_way(spark, docs):
     assert total == pytest.approx(1.0, abs=1e-6)
 
 
+def test_model_is_exact_and_grows_with_the_corpus(spark):
+    rng = np.random.default_rng(5)
+    rows = [("en", " ".join(rng.integers(33, 127, 7, np.uint8).tobytes().decode() for _ in range(60))) for _ in range(60)]
+    docs = spark.createDataFrame([(k, t, lang, "s", 0) for k, (lang, t) in enumerate(rows)], SCHEMA)
+    slow, model = SlowKneserNey([(lang, t.encode()) for lang, t in rows]), kn.fit(docs)
+    assert [len(g[0]) for g in model.grams] == [len(x) for x in slow.levels]
+    for text in (rows[0][1].encode(), b"never seen before QQQ"):
+        got = model.score(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.array([kn.lang_number("en")], np.uint64))[0]
+        assert got == pytest.approx(slow.bits("en", text), rel=1e-5)
+
+
 def test_quality_query(docs, nothing, crowded):
     out = {(r.doc_id, r.n_words): r for r in kn.judge(docs).collect()}
     for key, text, *_ in awkward():

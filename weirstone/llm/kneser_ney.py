@@ -3,10 +3,9 @@
 The model is counted by Spark over every document that passes the base rules: each task counts the n-grams of the highest order as
 exact integers (the language and up to ORDER bytes fit 64 bits), and the sums meet by n-gram. The lower
 orders hold continuation counts, the number of different bytes seen before. Each order has three discounts for its
-counts of one, two and more. For scoring, every order is a pair of sorted arrays: hash and log probability (with interpolation already
-worked in), and hash and back-off weight of its contexts. A hash has HASH_BITS bits, so no array is longer than 2**HASH_BITS
-whatever the corpus holds; n-grams that share a hash share their counts. This bounds what is broadcast to
-ORDER * 2 * 2**HASH_BITS * 8 bytes (336 MB at the default of 2**22), and in practice it is a few MB.
+counts of one, two and more. For scoring, every order is a pair of sorted arrays: n-gram and log probability (with interpolation already
+worked in), and context and its back-off weight. n-grams are kept whole, packed with their language into 64 bits, so none shares another's
+counts and the model grows with the corpus: 12 bytes for each distinct n-gram and context of each order are broadcast.
 
 A document's perplexity is 2 ** (mean bits a byte). A language's band is centred on the median of log2(perplexity) of its
 distinct texts that pass the base rules. The mean over n bytes spreads as 1 / sqrt(n), so the deviations are measured times sqrt(n), and the
@@ -29,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirstone.llm.shared import byte_views, doc_schema, small_enough, spool, text_batches, text_of, unpacked, whole_row
+from weirstone.llm.shared import byte_views, doc_schema, run_bounds, small_enough, spool, text_batches, text_of, unpacked, whole_row
 
-ORDER, HASH_BITS = 5, 22
+ORDER = 5
+#: Bits of a packed n-gram: its language's number and ORDER bytes. Keys are the n-grams themselves.
+HASH_BITS = 16 + 8 * ORDER
 LOW_WIDTH, HIGH_WIDTH = 5.0, 3.0
 LEAST_TEXTS, LEAST_BAND = 20, 1.0
 #: Words, symbols, the words of a window, and the limits of the base rules.
@@ -90,17 +91,15 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def tagged(packed: np.ndarray, lang: int, order: int) -> np.ndarray:
-    """An n-gram with its language's 16-bit number above its bytes."""
-    return packed | np.uint64((lang & 0xFFFF) << (8 * order))
+def tagged(packed: np.ndarray, lang: np.ndarray, order: int) -> np.ndarray:
+    """n-grams with their languages' 16-bit numbers above their bytes."""
+    return packed | lang << np.uint64(8 * order)
 
 
-def hashed(keys: np.ndarray, order: int) -> np.ndarray:
-    """HASH_BITS of each packed n-gram: its low bits well mixed."""
-    h = (keys + np.uint64(order << 56)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
+def suffixes(keys: np.ndarray, order: int) -> np.ndarray:
+    """The n-grams without their first byte."""
+    low = np.uint64((1 << (8 * (order - 1))) - 1)
+    return tagged(keys & low, keys >> np.uint64(8 * order), order - 1)
 
 
 def lang_number(lang: str | None) -> int:
@@ -163,41 +162,23 @@ def packed_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([b"".join(b.column(k).to_numpy().tobytes() for b in held)], pa.binary()) for k in range(len(names))], names)
 
 
-def hashed_counts(exact: DataFrame) -> list[tuple[np.ndarray, ...]]:
-    """For each order from 1 to ORDER: sorted hashes of its n-grams, their counts, and the hashes of their contexts and of their suffixes.
+def exact_counts(exact: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 1 to ORDER: its sorted distinct n-grams (packed with their language) and their counts.
 
-    Spark makes continuation counts from the exact n-grams, order by order; then n-grams of one hash are summed, which
-    bounds what comes to the driver by 2**HASH_BITS rows an order.
+    Spark makes continuation counts from the exact n-grams, order by order; 16 bytes for each n-gram come to the driver.
     """
     spark = exact.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     out = []
     level = exact
     for order in range(ORDER, 0, -1):
-
-        def run(batches: Iterator[pa.RecordBatch], order: int = order) -> Iterator[pa.RecordBatch]:
-            """hash of the n-gram, its count, the hash of its context and that of its suffix"""
-            for batch in batches:
-                keys = batch.column(0).to_numpy().view(np.uint64)
-                mask = np.uint64((1 << (8 * order)) - 1)
-                lang, own = keys >> np.uint64(8 * ORDER), keys & mask
-                tag = lambda part, k: part | lang << np.uint64(8 * k)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(hashed(tag(own, order), order).astype(np.int32)),
-                        batch.column(1),
-                        pa.array(hashed(tag(own >> np.uint64(8), order - 1), order - 1).astype(np.int32)),
-                        pa.array(hashed(tag(own & (mask >> np.uint64(8)), order - 1), order - 1).astype(np.int32)),
-                    ],
-                    ["h", "n", "context", "suffix"],
-                )
-
-        rows = level.mapInArrow(run, "h int, n bigint, context int, suffix int").groupBy("h").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix"))
-        parts = rows.mapInArrow(packed_columns, "h binary, n binary, context binary, suffix binary").collect()  # 20 bytes for each hash
-        kinds = (("h", np.int32), ("n", np.int64), ("context", np.int32), ("suffix", np.int32))
-        whole = [np.frombuffer(b"".join(r[c] for r in parts), kind) for c, kind in kinds]
-        order_of = np.argsort(whole[0], kind="stable")
-        out.append(tuple(x[order_of] for x in whole))
+        parts = level.select("key", "n").mapInArrow(packed_columns, "key binary, n binary").collect()
+        keys, counts = (np.frombuffer(b"".join(r[c] for r in parts), kind) for c, kind in (("key", np.uint64), ("n", np.int64)))
+        del parts
+        low = np.uint64((1 << (8 * order)) - 1)  # Spark's keys have the language above ORDER bytes, here it is above the order's own
+        keys = tagged(keys & low, keys >> np.uint64(8 * ORDER), order)
+        order_of = np.argsort(keys, kind="stable")
+        out.append((keys[order_of], counts[order_of]))
         if order > 1:  # the language stays in the bits above ORDER bytes
             low = (1 << (8 * (order - 1))) - 1
             high = ~((1 << (8 * ORDER)) - 1)
@@ -207,18 +188,18 @@ def hashed_counts(exact: DataFrame) -> list[tuple[np.ndarray, ...]]:
 
 @dataclass
 class Model:
-    """Sorted hash arrays: for each order the hashes of its n-grams with log2 probabilities, and of its contexts with log2 back-off weights."""
+    """Sorted arrays: for each order its n-grams with log2 probabilities, and its contexts with log2 back-off weights."""
 
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
     def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
-        hashes, values = table
-        if not len(hashes):
+        known, values = table
+        if not len(known):
             return np.full(len(keys), missing, np.float32), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-        found = hashes[at] == keys
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        found = known[at] == keys
         return np.where(found, values[at], np.float32(missing)), found
 
     def bits(self, keys: np.ndarray) -> np.ndarray:
@@ -229,10 +210,10 @@ class Model:
         for order in range(ORDER, 0, -1):
             tail = own[todo] & np.uint64((1 << (8 * order)) - 1)
             tag = lang[todo]
-            p, found = self._look(self.grams[order - 1], hashed(tail | tag << np.uint64(8 * order), order), -8.0)
+            p, found = self._look(self.grams[order - 1], tagged(tail, tag, order), -8.0)
             out[todo[found]] = p[found] + weight[todo[found]]
             todo, tail, tag = todo[~found], tail[~found], tag[~found]
-            back, _ = self._look(self.contexts[order - 1], hashed(tail >> np.uint64(8) | tag << np.uint64(8 * (order - 1)), order - 1), 0.0)
+            back, _ = self._look(self.contexts[order - 1], tagged(tail >> np.uint64(8), tag, order - 1), 0.0)
             weight[todo] += back
         out[todo] = -8.0 + weight[todo]
         return -out
@@ -247,27 +228,28 @@ class Model:
             return np.where(n > 0, (sums[offsets[1:]] - sums[offsets[:-1]]) / n, np.nan)
 
 
-def build(tables: list[tuple[np.ndarray, ...]]) -> Model:
-    """Modified Kneser-Ney from the hashed counts of each order."""
+def build(tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """Modified Kneser-Ney from the exact counts of each order."""
     grams_, contexts = [], []
     below: tuple[np.ndarray, np.ndarray] | None = None
-    for hashes, counts, context, suffix in tables:
+    for order, (keys, counts) in enumerate(tables, 1):
         n = [float((counts == k).sum()) for k in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.0
         discount = np.array([0.0] + [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.0 for k in (1, 2, 3)])
         d = discount[np.minimum(counts, 3)]
-        own, at = np.unique(context, return_inverse=True)
+        context = keys >> np.uint64(8)  # sorted like the n-grams, as it is their beginning
+        bounds = run_bounds(context)
+        own, at = context[bounds[:-1]], np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         total = np.bincount(at, counts, len(own))
         gamma = np.maximum(np.bincount(at, d, len(own)), 1e-9 * total) / total if len(own) else total
         if below is None:
-            lower = np.full(len(hashes), 1 / 256)
+            lower = np.full(len(keys), 1 / 256)
         else:
-            where = np.searchsorted(below[0], suffix.astype(np.uint32))
-            lower = below[1][np.minimum(where, len(below[0]) - 1)] if len(below[0]) else np.full(len(hashes), 1 / 256)
-        p = (counts - d) / total[at] + gamma[at] * lower if len(hashes) else np.zeros(0)
-        below = (hashes.astype(np.uint32), p)
-        grams_.append((hashes.astype(np.uint32), np.log2(p).astype(np.float32)))
-        contexts.append((own.astype(np.uint32), np.log2(gamma).astype(np.float32)))
+            lower = below[1][np.searchsorted(below[0], suffixes(keys, order))]  # each is there: lower orders are made of these
+        p = (counts - d) / total[at] + gamma[at] * lower if len(keys) else np.zeros(0)
+        below = (keys, p)
+        grams_.append((keys, np.log2(p).astype(np.float32)))
+        contexts.append((own, np.log2(gamma).astype(np.float32)))
     return Model(grams_, contexts)
 
 
@@ -275,7 +257,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
     """Count over all documents and build the model."""
     text_batches(docs.sparkSession)
     exact = spool(count(docs.select(F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))))
-    return build(hashed_counts(exact))
+    return build(exact_counts(exact))
 
 
 def measured(docs: DataFrame, model: Model, keep: bool, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
