@@ -255,6 +255,15 @@ def test_mixing_repeats_what_is_wanted(spark):
     assert mean(0) > 2 and mean(2) < 1.2
 
 
+def test_mixing_has_no_upper_rate_and_tells_of_misses(spark, caplog):
+    df, labels = mixing_rows(spark)
+    targets = {"q1t0": 0.8, "q1t1": 0.1, "q0t0": 0.05, "q0t1": 0.05}
+    counts = Counter(r.doc_id for r in soft_mixing.mixed(df, labels, targets, budget=2.0).collect())
+    assert np.mean([counts[k] for k in range(0, 400, 4)]) > 5
+    assert "targets missed" in caplog.text  # two domains have a quarter of the tokens and should have a tenth
+    assert max(r.rate for r in soft_mixing.rated(df, labels, {"q1t0": 0.01, "q1t1": 0.01, "q0t0": 0.01, "q0t1": 9.0}).collect()) > 8
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="no test tables")
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "source_mixing", "sentencepiece"]

@@ -19,6 +19,7 @@ gives an empty result; other columns stay as they are in mixed().
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -35,6 +36,8 @@ FIT_ROWS, MARKERS = 20_000, 128
 LEAST_DOCS = 5
 SMOOTHING = 2.0
 STEPS, TOLERANCE = 40, 1e-6
+#: A mix whose domains are further off than this share of the tokens aimed at misses its targets, which is logged.
+MET = 0.002
 #: Upper ends of the shape features' bins.
 BINS = {
     "words": [5, 10, 40, 160, 640, 2560],
@@ -178,24 +181,34 @@ def fit_rates(rows: DataFrame, targets: list[float], least: float = 0.0, most: f
         done.append((inverse @ off).tolist())
 
 
+def told(now: list[float], aim: list[float], domains: list[str]) -> bool:
+    """Whether the targets are met; a miss is logged with the tokens reached and aimed at."""
+    if max(abs(a - b) for a, b in zip(now, aim, strict=True)) <= MET * sum(aim):
+        return True
+    logging.getLogger(__name__).warning("targets missed: %s", ", ".join(f"{d} {a:.0f} of {b:.0f} tokens" for d, a, b in zip(domains, now, aim, strict=True)))
+    return False
+
+
 def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id") -> DataFrame:
     """doc_id, source, n_tokens, rate, domain (the likeliest) and a posterior column p_<domain> for every document."""
     targets = targets or TARGETS
     domains = list(targets)
     classifier = fit_classifier(docs, labels, domains, label_domain())
     rows = spool(classifier.rows(docs.select(F.col(id_col).alias("doc_id"), "source", "text"), "text").drop("text"))
-    rate, _, _ = fit_rates(rows, list(targets.values()))
+    rate, now, aim = fit_rates(rows, list(targets.values()), most=math.inf)
+    told(now, aim, domains)
     best = F.element_at(F.array(*map(F.lit, domains)), F.array_position("_p", F.array_max("_p")).cast("int"))
     return rows.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), rate.alias("rate"), best.alias("domain"), *(F.element_at("_p", d + 1).alias(f"p_{name}") for d, name in enumerate(domains)))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.25, most: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.25, most: float = math.inf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents repeated by their rates, with their columns. No rate is below 1 here, so none is lost: a budget above 1 is
-    filled by repeating what the targets lack. The part of a rate beyond a whole number is decided by a hash of id and text."""
+    filled by repeating what the targets lack. A domain above its share of the budget can't meet its target so; told() logs that. The part of a rate beyond a whole number is decided by a hash of id and text."""
     targets = targets or TARGETS
     classifier = fit_classifier(docs, labels, list(targets), label_domain(), id_col, text_col)
     rows = spool(classifier.rows(docs.select(whole_row(docs), F.col(text_col).alias("_body")), "_body").drop("_body"))
-    rate, _, _ = fit_rates(rows, list(targets.values()), 1.0, most, budget)
+    rate, now, aim = fit_rates(rows, list(targets.values()), 1.0, most, budget)
+    told(now, aim, list(targets))
     chance = F.pmod(F.xxhash64(F.col("_doc").getField(id_col), F.col("_doc").getField(text_col)), F.lit(1_000_003)) / 1_000_003
     copies = rows.withColumn("_rate", rate).withColumn("_copies", (F.floor("_rate") + F.when(F.col("_rate") - F.floor("_rate") > chance, 1).otherwise(0)).cast("int"))
     return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*unpacked(docs))
