@@ -156,13 +156,40 @@ def test_line_windows_literal(spark, crowded):
 def test_units_literal(spark, crowded):
     long = "These  five words make one unit"
     rows = [(2, f"{long.upper()}\nshort\nend"), (1, f"short\n{long}\nshort")]
-    out = {r.doc_id: (r.text, [(s.start, s.end) for s in r.removed]) for r in unit_hashes.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    out = {r.doc_id: (r.text, [(s.start, s.end) for s in r.removed]) for r in unit_hashes.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"), "line", 5, 5).collect()}
     assert out == {1: (rows[1][1], []), 2: ("short\nend", [(0, len(long) + 1)])}
     paragraphs = spark.createDataFrame([(1, "a b c d e\nf\n\n\nx"), (2, "y\n\na b c d e\nf")], "doc_id bigint, text string")
-    assert {r.doc_id: r.text for r in unit_hashes.deduplicated(paragraphs, "paragraph").collect()} == {1: "a b c d e\nf\n\n\nx", 2: "y\n\n"}
+    assert {r.doc_id: r.text for r in unit_hashes.deduplicated(paragraphs, "paragraph", 5, 5).collect()} == {1: "a b c d e\nf\n\n\nx", 2: "y\n\n"}
     assert as_given(unit_hashes.deduplicated(crowded), [*(c for c in crowded.columns if c != "removed"), "removed"])
 
 
+def test_passages_within_lines(spark):
+    """A passage of sentences goes wherever it lies in a line, a common sentence of its own stays."""
+    rng = random.Random(9)
+    sentence = lambda n: words(rng, n).capitalize() + rng.choice([".", "!", "?"])
+    passage = [sentence(9) for _ in range(4)]
+    common = sentence(12)
+    one = f"{sentence(8)} and so {' '.join(passage)}"
+    two = f"{common} Then {' '.join(passage)} {sentence(7)}\n{common}"
+    unspaced = "".join(rng.choice("abcdef") for _ in range(300))
+    rows = [(1, one), (2, two), (3, f"{common} x"), (4, unspaced), (5, f"y\n{unspaced}\nz"), (6, " ".join(passage[1:3]))]
+    got = {r.doc_id: (r.text, [(s.start, s.end) for s in r.removed]) for r in unit_hashes.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    inner = " ".join(passage[1:]) + " "  # its first sentence is joined to what stands before it
+    at = two.index(inner)
+    assert got[2] == (two.replace(inner, ""), [(at, at + len(inner))])
+    assert got[5] == ("y\nz", [(2, 303)])
+    assert all(got[k] == (text, []) for k, text in rows if k not in (2, 5))
+
+
+def test_passages_equal_sql(spark):
+    rng = random.Random(10)
+    pool = [words(rng, rng.randrange(1, 14)) + rng.choice([".", "!  ", "?", ". ", "", "。", " .\t"]) for _ in range(60)]
+    rows = [(k, "".join(rng.choice(pool) + rng.choice([" ", " ", "\n", "", "\n\n"]) for _ in range(rng.randrange(0, 40))), "en", "s", 0) for k in range(150)]
+    got = unit_hashes.digests(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    assert by_id(got.collect()) == by_id(in_duckdb(rows, f"SELECT {', '.join(got.columns)} FROM ({unit_hashes.ORACLE})"))
+    assert sum(r.n_removed for r in got.collect()) > 50
+
+
 def slow_repeats(rows, length=200):
     counts: Counter = Counter()
     for _, b in rows:

@@ -8,8 +8,9 @@ execution may split on the side of a hot digest. What is to be removed goes back
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,25 +31,24 @@ def text_in(text_col: str) -> Column:
     return F.coalesce(F.col("_doc").getField(text_col).cast("string"), F.lit("")).alias(TEXT)
 
 
-def occurrences(rows: DataFrame, text_col: str, units: Callable[[str], Iterator[tuple[int, str]]]) -> DataFrame:
-    """_row, _id, unit, hi, lo: the digests of units(text), which gives unit numbers and normalised texts."""
+def occurrences(rows: DataFrame, text_col: str, units: Callable[[str], Iterable[tuple[int, str]]]) -> DataFrame:
+    """_row, _id, unit, hi, lo: the digests of units(text), which gives unit numbers and normalised texts, in a shared table,
+    so that texts are cut once for both its readers."""
     text_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, key, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                found = list(units(text.as_py()))
-                if not found:
-                    continue
-                digests = pa.array(xxhash.xxh3_128_digest(u) for _, u in found)
-                halves = [int.from_bytes(d.as_py()[k : k + 8], "little", signed=True) for d in digests for k in (0, 8)]
-                n = len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row.as_py()] * n, pa.int64()), pa.array([key.as_py()] * n, pa.int64()), pa.array([k for k, _ in found], pa.int32()), pa.array(halves[::2], pa.int64()), pa.array(halves[1::2], pa.int64())],
-                    [ROW, "_id", "unit", "hi", "lo"],
-                )
-
-    return rows.select(ROW, "_id", text_in(text_col)).mapInArrow(run, f"{ROW} bigint, _id bigint, unit int, hi bigint, lo bigint")
+            places, numbers, digests = [], [], []
+            for place, text in enumerate(batch.column(2)):
+                for number, own in units(text.as_py()):
+                    places.append(place)
+                    numbers.append(number)
+                    digests.append(xxhash.xxh3_128_digest(own))
+            halves = np.frombuffer(b"".join(digests), np.int64)
+            at = pa.array(places, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(halves[::2]), pa.array(halves[1::2])], [ROW, "_id", "unit", "hi", "lo"])
+
+    return spool(rows.select(ROW, "_id", text_in(text_col)).mapInArrow(run, f"{ROW} bigint, _id bigint, unit int, hi bigint, lo bigint"))
 
 
 def later(found: DataFrame) -> DataFrame:
