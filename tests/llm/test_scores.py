@@ -197,21 +197,40 @@ def test_rates_solve_the_problem(spark):
     n = rng.integers(1, 400, 300)
     p = rng.dirichlet([0.3, 0.3, 0.3], 300)
     df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "_tokens bigint, _p array<double>")
-    targets = [0.6, 0.3, 0.1]
-    rate, now, aim = soft_mixing.fit_rates(df, targets, steps=60)
-    got = df.select("_tokens", "_p", rate.alias("r")).collect()
-    r = np.array([x.r for x in got])
-    assert (r >= 0).all() and (r <= 8).all()
-    sums = np.array([[x.r * x["_tokens"] * q for q in x["_p"]] for x in got]).sum(axis=0)
-    assert sums == pytest.approx(now) and sums / n.sum() == pytest.approx(targets, abs=2e-3) and aim == pytest.approx(np.array(targets) * n.sum())
-    # the same steps by numpy
-    slow, m = np.ones(300), np.linalg.pinv((p * n[:, None]).T @ p)
-    for _ in range(60):
-        off = (n * slow) @ p - np.array(targets) * n.sum()
-        if np.abs(off).max() <= soft_mixing.TOLERANCE * n.sum():
-            break
-        slow = np.clip(slow - p @ (m @ off), 0, 8)
-    assert sorted(r) == pytest.approx(sorted(slow), abs=1e-6)
+    def rates(fit):
+        got = df.select("_tokens", "_p", fit.rate.alias("r")).collect()
+        sums = np.array([[x.r * x["_tokens"] * q for q in x["_p"]] for x in got]).sum(axis=0)
+        assert sums == pytest.approx(fit.reached, rel=1e-6) and fit.converged
+        return np.array([x.r for x in got]), sums
+
+    # whatever can be met is met
+    for targets, budget in (([0.6, 0.3, 0.1], 1.0), ([0.05, 0.9, 0.05], 3.0), ([0.34, 0.33, 0.33], 0.4)):
+        fit = soft_mixing.fit_rates(df, targets, budget=budget)
+        r, sums = rates(fit)
+        assert (r >= 0).all() and sums / n.sum() == pytest.approx(np.array(targets) * budget, abs=1e-6) and fit.told(["a", "b", "c"])
+        assert fit.aimed == pytest.approx(np.array(targets) * budget * n.sum())
+    # what can't be is missed by no more than the least squares solution, here by very many plain steps
+    for least, most, targets in ((0.0, 1.5, [0.9, 0.05, 0.05]), (1.0, 2.0, [0.1, 0.2, 0.9]), (0.0, math.inf, [1.0, 0.0, 0.0])):
+        fit = soft_mixing.fit_rates(df, targets, least, most)
+        r, sums = rates(fit)
+        aim, a = np.array(targets) * n.sum(), p * n[:, None]
+        slow, size = np.ones(300), 1 / np.linalg.eigvalsh(a.T @ p)[-1]
+        for _ in range(20_000):
+            slow = np.clip(slow - size * (p @ (slow @ a - aim)), least, most)
+        best = ((slow @ a - aim) ** 2).sum()
+        assert best > 1 and fit.told(["a", "b", "c"]) == (most == math.inf) and (r >= least).all() and (r <= most).all()
+        assert ((sums - aim) ** 2).sum() <= best * (1 + 1e-5)
+
+
+def test_calibration():
+    rng = np.random.default_rng(3)
+    logs = rng.normal(size=(4000, 3)) * 2
+    p = np.exp(0.5 * logs + [0.5, 0.0, -0.5])
+    truth = np.array([rng.choice(3, p=x / x.sum()) for x in p])
+    own = soft_mixing.Classifier(["a", "b", "c"], [], [], {})
+    own.calibrate(logs, truth)
+    assert own.heat == pytest.approx(0.5, abs=0.05) and own.shift[0] - own.shift[2] == pytest.approx(1.0, abs=0.15)
+    own.calibrate(logs[:0], truth[:0])
 
 
 def mixing_rows(spark):
@@ -236,7 +255,7 @@ def test_mixing(spark, docs, nothing, crowded):
     assert all(sum(r[c] for c in names) == pytest.approx(1.0) and r.rate >= 0 for r in rows)
     total = sum(r.n_tokens for r in rows)
     share = [sum(r.rate * r.n_tokens * r[c] for r in rows) / total for c in names]
-    assert share == pytest.approx(list(soft_mixing.TARGETS.values()), abs=0.01)
+    assert share == pytest.approx(list(soft_mixing.TARGETS.values()), abs=1e-6)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert soft_mixing.rated(docs, labels).count() == len(awkward())
@@ -244,13 +263,14 @@ def test_mixing(spark, docs, nothing, crowded):
     assert soft_mixing.rated(nothing, labels).collect() == []
     mixed = soft_mixing.mixed(crowded, labels)
     assert as_given(mixed, crowded.columns)
-    assert {r.doc_id for r in mixed.collect()} == {r[0] for r in awkward()}
+    assert {r.doc_id for r in mixed.collect()} <= {r[0] for r in awkward()}
+    assert {r.doc_id for r in soft_mixing.mixed(crowded, labels, least=1.0).collect()} == {r[0] for r in awkward()}
 
 
 def test_mixing_repeats_what_is_wanted(spark):
     df, labels = mixing_rows(spark)
     counts = Counter(r.doc_id for r in soft_mixing.mixed(df, labels, {"q1t0": 0.7, "q1t1": 0.1, "q0t0": 0.1, "q0t1": 0.1}, budget=1.5).collect())
-    assert set(counts) == set(range(400))
+    assert set(range(0, 400, 4)) < set(counts) < set(range(400))  # what is wanted stays whole, of the rest a part
     mean = lambda kind: np.mean([counts[k] for k in range(400) if k % 4 == kind])
     assert mean(0) > 2 and mean(2) < 1.2
 
@@ -258,7 +278,7 @@ def test_mixing_repeats_what_is_wanted(spark):
 def test_mixing_has_no_upper_rate_and_tells_of_misses(spark, caplog):
     df, labels = mixing_rows(spark)
     targets = {"q1t0": 0.8, "q1t1": 0.1, "q0t0": 0.05, "q0t1": 0.05}
-    counts = Counter(r.doc_id for r in soft_mixing.mixed(df, labels, targets, budget=2.0).collect())
+    counts = Counter(r.doc_id for r in soft_mixing.mixed(df, labels, targets, budget=2.0, least=1.0).collect())
     assert np.mean([counts[k] for k in range(0, 400, 4)]) > 5
     assert "targets missed" in caplog.text  # two domains have a quarter of the tokens and should have a tenth
     assert max(r.rate for r in soft_mixing.rated(df, labels, {"q1t0": 0.01, "q1t1": 0.01, "q0t0": 0.01, "q0t1": 9.0}).collect()) > 8
@@ -278,8 +298,8 @@ def test_pipeline(spark):
     columns = spark.read.parquet(f"{SF_SMALL}/documents.parquet").columns
     assert all(o.columns == columns for o in outs[:-1])
     ids = [{r.doc_id for r in o.select("doc_id").collect()} for o in outs]
-    assert ids[0] == ids[1] >= ids[2] == ids[3] == ids[4]
-    assert outs[3].count() >= outs[2].count() == len(ids[2])
+    assert ids[0] == ids[1] >= ids[2] >= ids[3] == ids[4]
+    assert outs[2].count() == len(ids[2])
     final = sorted(map(tuple, outs[-1].collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF_SMALL).collect())) == final
 
