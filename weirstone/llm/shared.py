@@ -22,12 +22,13 @@ TASK_BYTES = 32 << 20
 def work_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, the one that driver and executors share.
 
-    Only where that setting is absent (local runs, tests) a temporary folder stands in for it.
+    Only where that setting is absent in local mode (tests) a temporary folder stands in for it; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: executors and driver need a folder that they share")
         base = "file://" + tempfile.mkdtemp(prefix="weirstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{_scope[-1] if _scope else base.rstrip('/')}/weirstone-{uuid.uuid4().hex}"
 
 
