@@ -210,3 +210,20 @@ def test_items_give_what_the_batch_gives(spark):
     whole = pipeline().run_items([df])[0]
     parts = pipeline().run_items([df.where(F.col("v") % 7 == k) for k in range(7)])
     assert sorted(r.v for r in whole.collect()) == sorted(r.v for p in parts for r in p.collect())
+
+
+def test_failed_step_is_wholly_taken_back(spark):
+    tries = []
+
+    def run(w):
+        w.register("Out", spark.range(1).schema)
+        tries.append(1)
+        if len(tries) < 2:
+            w.insert_resource("half", 1)
+            raise ValueError("not yet")
+        assert list(w["Out"].collect()) == []
+        w.append("Out", spark.range(3))
+
+    p = Pipeline("p", Workspace(spark)).add_step(Access("s"), run, retry=Retry.fixed(2, 1))
+    p.run()
+    assert p.workspace["Out"].count() == 3 and "half" not in p.workspace._resources

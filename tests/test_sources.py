@@ -413,3 +413,26 @@ def test_registry():
     assert r.source("mine", {"a": 1}) == {"a": 1}
     with pytest.raises(ConfigurationError):
         r.register_sink("CsvSink", lambda o: o)
+
+
+def test_failed_batches_fail_the_query_unless_dropped(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    def pipeline():
+        ws = Workspace(spark)
+        ws.register("A", T.StructType([T.StructField("v", T.LongType())]))
+
+        def odd(w):
+            if w["A"].where("v = 2").count():
+                raise ValueError("two")
+
+        return Pipeline("p", ws).add_source("A", lambda w: None).add_step(Access("odd").read("A", "v"), odd).add_sink("A", lambda df: out.extend(r.v for r in df.collect()))
+
+    out = []
+    stream = file_stream(spark, tmp_path, [[(1,)], [(2,)], [(3,)]], "v bigint")
+    with pytest.raises(StreamingQueryException):
+        runner.stream(pipeline(), stream, f"{tmp_path}/c", availableNow=True).awaitTermination()
+    out.clear()
+    counters = runner.Counters()
+    runner.stream(pipeline(), stream, f"{tmp_path}/d", counters, drop_failed=True, availableNow=True).awaitTermination()
+    assert out == [1, 3] and counters.runtime_errors == 1

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstone.errors import ComponentNotFoundError, ResourceNotFoundError, SchemaError
+from weirstone.errors import ComponentNotFoundError, ConfigurationError, ResourceNotFoundError, SchemaError
 from weirstone.types import Component, Migration, fingerprint, no_migration
 
 ALIVE = "__alive"
@@ -49,6 +49,14 @@ class Workspace:
         except KeyError:
             raise ComponentNotFoundError(f"no component {name!r}; there are {', '.join(sorted(self.components)) or 'none'}") from None
 
+    def state(self) -> tuple[dict, dict, dict]:
+        """What is declared and held now, for restore()."""
+        return dict(self.components), dict(self.frames), dict(self._resources)
+
+    def restore(self, state: tuple[dict, dict, dict]) -> None:
+        """Back to what state() gave, also what has been declared since."""
+        self.components, self.frames, self._resources = (dict(x) for x in state)
+
     # -- reading
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -115,10 +123,13 @@ class Workspace:
         return other
 
     def checkpoint(self) -> None:
-        """Write all components to the checkpoint folder; what comes after starts from there. Without a folder set, a temporary one is."""
+        """Write all components to the checkpoint folder; what comes after starts from there. In local mode a temporary folder stands in for one that isn't set."""
         context = self.spark.sparkContext
         if context.getCheckpointDir() is None:
-            context.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weirstone-"))
+            folder = self.spark.conf.get("spark.checkpoint.dir", None)
+            if not folder and not context.master.startswith("local"):
+                raise ConfigurationError("spark.checkpoint.dir isn't set: executors and driver need a folder that they share")
+            context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weirstone-"))
         self.frames = {k: df.checkpoint() for k, df in self.frames.items()}
 
     # -- resources

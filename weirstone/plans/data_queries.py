@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirstone.errors import RetryExhaustedError
+from weirstone.errors import ConfigurationError, RetryExhaustedError
 from weirstone.functions.aggregates import Reduce
 from weirstone.operators.casting import cast_rows, target_schema
 from weirstone.operators.digest import sha3
@@ -23,11 +24,18 @@ from weirstone.plans.scheduler import DATA, After, PipelineOptions, Scheduler
 from weirstone.plans.tables import HOUR, events, table
 from weirstone.sources.files import CsvSource, FileSink, JsonSource, ParquetSource
 from weirstone.sources.query import SqlSource, register_folder
+from weirstone.streaming import runner
+
+
+#: Numbers of a block of the range finder, and how many times blocks are gathered into larger ones.
+BLOCK, LEVELS = 4096, 2
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; a temporary one where none is set."""
+    """A new folder in the one that driver and executors share; in local mode a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ConfigurationError("spark.checkpoint.dir isn't set: executors and driver need a folder that they share")
     return f"{base.rstrip('/')}/weirstone-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="weirstone-")
 
 
@@ -77,8 +85,8 @@ SELECT r_name, 'all', CAST(NULL AS BIGINT), round(sum(total), 2), CAST(0 AS BIGI
 
 
 def lookup_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with their customer's segment, or a default; every fifth customer is left out of the table."""
-    c = table(spark, folder, "customer").where(F.col("c_custkey") % 5 != 0).select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
+    """Orders with the segment of the customer 30 keys below theirs, or a default where there is none."""
+    c = table(spark, folder, "customer").select((F.col("c_custkey") + 30).alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
     rows = enriched(table(spark, folder, "orders"), "o_custkey", c, "segment", "NONE")
     return rows.groupBy("segment").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
@@ -90,15 +98,21 @@ def column_sum(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Ranges [first, after) of order keys that no order covers: neighbours more than one apart."""
-    o = table(spark, folder, "orders").where("o_orderkey % 10 < 8").select("o_orderkey").distinct()
-    # neighbours within a block of keys, and blocks' ends among themselves, so that no task sorts all keys
-    block = F.floor(F.col("o_orderkey") / 4096)
-    inner = o.withColumn("block", block).withColumn("before", F.lag("o_orderkey").over(Window.partitionBy("block").orderBy("o_orderkey")))
-    edges = o.groupBy(block.alias("block")).agg(F.min("o_orderkey").alias("o_orderkey"), F.max("o_orderkey").alias("top"))
-    across = edges.withColumn("before", F.lag("top").over(Window.orderBy("block")))
-    both = inner.where("before IS NOT NULL").select("before", "o_orderkey").unionByName(across.where("before IS NOT NULL").select("before", "o_orderkey"))
-    return both.where("o_orderkey > before + 1").select((F.col("before") + 1).alias("first"), F.col("o_orderkey").alias("after"))
+    """Ranges [first, after) that no order's number covers: neighbours more than one apart. Numbers are keys with two left free after each eight.
+
+    Neighbours are found within blocks of numbers, then the blocks' ends within larger blocks, and so on: no task sorts more than BLOCK rows before the last step, which has one row for
+    each BLOCK ** LEVELS numbers.
+    """
+    number = F.col("o_orderkey") + 2 * F.floor(F.col("o_orderkey") / 8)
+    level = table(spark, folder, "orders").select(number.alias("low")).distinct().withColumn("high", F.col("low"))
+    found = []
+    for k in range(1, LEVELS + 2):
+        block = F.floor(F.col("low") / F.lit(BLOCK) ** k) if k <= LEVELS else F.lit(0)
+        own = Window.partitionBy("block").orderBy("low")
+        pairs = level.withColumn("block", block).withColumn("before", F.lag("high").over(own))
+        found.append(pairs.where("low > before + 1").select((F.col("before") + 1).alias("first"), F.col("low").alias("after")))
+        level = level.groupBy(block.alias("block")).agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("block")
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _roundtrip(kind: str):
@@ -118,15 +132,31 @@ def sha3_digest(spark: SparkSession, folder: str) -> DataFrame:
     return sha3(table(spark, folder, "part").select("p_partkey", blob.alias("blob")), "blob").select("p_partkey", F.lower(F.hex("sha3_256")).alias("sha3_256"))
 
 
+def doubled(spark: SparkSession, rows: DataFrame) -> Pipeline:
+    """A pipeline that reads events and writes twice their value beside it."""
+    ws = Workspace(spark)
+    ws.register("event", rows.schema)
+    return Pipeline("doubled", ws).add_source("event", lambda w: rows).add_columns(Access("double").read("event", "value").write("event", "twice"), lambda w: {"event": {"twice": F.col("value") * 2}})
+
+
 def stream_equals_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """The same total from one batch and from 1, 10 and 100 items of it."""
-    rows = events(spark, folder).select("event_id", F.lit("events").alias("origin"), "value")
-    whole = rows.agg(F.sum("value").alias("v"))
-    out = whole.select(F.lit("batch").alias("form"), F.round("v", 2).alias("total"))
-    for items in (1, 10, 100):
-        each = rows.groupBy(F.pmod("event_id", F.lit(items)).alias("item")).agg(F.sum("value").alias("v"))
-        out = out.unionByName(each.agg(F.round(F.sum("v"), 2).alias("total")).select(F.lit(f"items_{items}").alias("form"), "total"))
-    return out
+    """The same pipeline over one batch, over 1, 5 and 20 items of it, and over a stream of four files."""
+    rows = events(spark, folder).select("event_id", "value", F.lit(0.0).alias("twice"))
+    total = lambda df, form: df.agg(F.count("*").alias("n"), F.round(F.sum("twice"), 2).alias("total")).select(F.lit(form).alias("form"), "n", "total")
+    whole = doubled(spark, rows)
+    whole.run_with_io()
+    out = [total(whole.workspace["event"], "batch")]
+    for n in (1, 5, 20):
+        items = doubled(spark, rows).run_items(rows.where(F.pmod("event_id", F.lit(n)) == k) for k in range(n))
+        out.append(total(functools.reduce(DataFrame.unionByName, items), f"items_{n}"))
+    base = scratch(spark)
+    for k in range(4):
+        rows.where(F.pmod("event_id", F.lit(4)) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    sink = FileSink(f"{base}/out", "parquet", mode="append")
+    runner.stream(doubled(spark, rows).add_sink("event", sink.write), stream, f"{base}/checkpoint", availableNow=True).awaitTermination()
+    out.append(total(spark.read.parquet(f"{base}/out"), "stream"))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def scheduler_skip(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,13 +233,13 @@ ORACLES = {
     "append_union": "SELECT nation, count(*) AS n, round(sum(balance), 2) AS balance FROM (SELECT c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) GROUP BY nation",
     "cast_safe": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END AS p_size FROM part",
     "sql_passthrough": SQL,
-    "lookup_join": "SELECT coalesce(CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END, 'NONE') AS segment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY 1",
+    "lookup_join": "SELECT coalesce(c_mktsegment, 'NONE') AS segment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON c_custkey + 30 = o_custkey GROUP BY 1",
     "column_sum": "SELECT round(coalesce(sum(value), 0.0), 2) AS sum_value, 0.0::DOUBLE AS sum_nothing FROM events",
-    "range_gaps": "SELECT before + 1 AS first, o_orderkey AS after FROM (SELECT o_orderkey, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS before FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 10 < 8)) WHERE o_orderkey > before + 1",
+    "range_gaps": "SELECT before + 1 AS first, k AS after FROM (SELECT k, lag(k) OVER (ORDER BY k) AS before FROM (SELECT DISTINCT o_orderkey + 2 * (o_orderkey // 8) AS k FROM orders)) WHERE k > before + 1",
     "io_roundtrip_csv": ROUNDTRIP,
     "io_roundtrip_json": ROUNDTRIP,
     "io_roundtrip_parquet": ROUNDTRIP,
-    "stream_equals_batch": "SELECT form, round(sum(value), 2) AS total FROM events, (VALUES ('batch'), ('items_1'), ('items_10'), ('items_100')) AS t(form) GROUP BY form",
+    "stream_equals_batch": "SELECT form, count(*) AS n, round(sum(value * 2), 2) AS total FROM events, (VALUES ('batch'), ('items_1'), ('items_5'), ('items_20'), ('stream')) AS t(form) GROUP BY form",
     "scheduler_skip": "SELECT * FROM (VALUES ('full', true), ('empty', true), ('after_empty', false), ('after_that', false)) AS t(pipeline, ran)",
     "retry_exhausted": "SELECT * FROM (VALUES ('never', 3, false), ('second', 2, true)) AS t(system, attempts, succeeded)",
     "sales_by_category": "SELECT CAST(epoch_us(ts) // 30000000 AS BIGINT) AS window_id, event_type, round(sum(value), 4) AS sum_value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2",

@@ -113,11 +113,11 @@ class Pipeline:
         def call() -> tuple[dict, dict]:
             try:
                 if system.run is not None:
-                    kept = dict(ws.frames)
+                    kept = ws.state()
                     try:
                         system.run(ws)
                     except BaseException:
-                        ws.frames = kept  # what a failed try has changed is taken back
+                        ws.restore(kept)  # what a failed try has changed is taken back
                         raise
                     columns = {}
                 else:

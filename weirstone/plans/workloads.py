@@ -91,7 +91,7 @@ def fulfilment_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("C"), F.pmod(F.col("o_custkey"), F.lit(1000)).cast("string")).alias("customer_id"),
         F.concat(F.lit("P"), F.lpad((F.pmod(F.col("o_orderkey"), F.lit(22)) + 1).cast("string"), 3, "0")).alias("product_id"),
         (F.pmod(F.col("o_orderkey"), F.lit(8)) - 1).cast("bigint").alias("quantity"),
-        F.round(F.col("o_totalprice") / 50, 2).alias("amount_original"),
+        (F.call_function("div", F.round(F.col("o_totalprice") * 100).cast("bigint"), F.lit(50)) / 100).alias("amount_original"),
         pick(F.col("o_custkey"), *CURRENCIES).alias("currency"),
         zero.alias("amount_usd"),
         pick(F.col("o_orderkey"), *REGIONS).alias("region"),
@@ -146,7 +146,7 @@ def fulfillment_invoice(spark: SparkSession, folder: str) -> DataFrame:
 
 FULFILLMENT = f"""
 WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey % 1000 AS cust, 'P' || lpad(CAST(o_orderkey % 22 + 1 AS VARCHAR), 3, '0') AS product, o_orderkey % 8 - 1 AS quantity,
-  round(o_totalprice / 50, 2) AS amount, {sql_pick('o_custkey', CURRENCIES)} AS currency, {sql_pick('o_orderkey', REGIONS)} AS region FROM orders),
+  CAST(CAST(round(o_totalprice * 100) AS BIGINT) // 50 AS DOUBLE) / 100 AS amount, {sql_pick('o_custkey', CURRENCIES)} AS currency, {sql_pick('o_orderkey', REGIONS)} AS region FROM orders),
 s AS (SELECT *, amount > 0 AND quantity > 0 AS valid, least(CASE WHEN amount > 2000 THEN 0.35 ELSE 0.0 END + CASE WHEN cust BETWEEN 800 AND 900 THEN 0.40 ELSE 0.0 END + CASE WHEN amount > 4000 THEN 0.20 ELSE 0.0 END, 1.0) AS fraud,
   amount * ({sql_map('currency', RATES, '1.0')}) AS usd, {sql_map('product', STOCK, '0.0')} AS stock, {sql_map('region', TAXES, str(OTHER_TAX))} AS rate FROM o),
 d AS (SELECT *, valid AND (stock >= quantity OR stock > 0) AND fraud < {FRAUD_LIMIT} AS done FROM s)

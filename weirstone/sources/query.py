@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,13 @@ class SqlSource:
         return spark.sql(self.query, args=dict(self.parameters) or None)
 
 
+    def read_each(self, spark: SparkSession, name: str, batches: Iterable[DataFrame]) -> Iterator[DataFrame]:
+        """The query over each of several batches in turn, each registered under the name."""
+        for df in batches:
+            df.createOrReplaceTempView(name)
+            yield self.read(spark)
+
+
 def register_folder(spark: SparkSession, folder: str, names: list[str]) -> None:
     """Parquet tables of a folder as views."""
     for name in names:

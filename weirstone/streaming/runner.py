@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from weirstone.errors import ConfigurationError
+from weirstone.errors import ConfigurationError, EngineError
 from weirstone.plans.pipeline import Pipeline
 
 #: The pause between runs in continuous mode, and after an error of a stream's source.
@@ -80,10 +80,11 @@ class Driver:
         return self.counters
 
 
-def stream(pipeline: Pipeline, source: DataFrame, checkpoint: str, counters: Counters | None = None, **trigger: object) -> StreamingQuery:
+def stream(pipeline: Pipeline, source: DataFrame, checkpoint: str, counters: Counters | None = None, drop_failed: bool = False, **trigger: object) -> StreamingQuery:
     """Each micro-batch as one run over a workspace that holds it alone; its sinks are written before the batch is done.
 
-    A batch whose run fails is dropped and counted, as a bad item must not hold up those after it.
+    A batch whose run fails is counted and fails the query, so that it is tried again from the checkpoint. With drop_failed a batch that the pipeline's own
+    systems reject (an EngineError) is dropped instead, as a bad item must not hold up those after it; other errors, a lost executor's say, still fail the query.
     """
     if len(pipeline.sources) != 1:
         raise ConfigurationError(f"{pipeline.name}: stream mode needs exactly one source")
@@ -95,6 +96,8 @@ def stream(pipeline: Pipeline, source: DataFrame, checkpoint: str, counters: Cou
             own.runs += 1
         except Exception as e:
             own.runtime_errors, own.last_error = own.runtime_errors + 1, str(e)
+            if not drop_failed or not isinstance(e, EngineError):
+                raise
             time.sleep(ERROR_PAUSE_S)
 
     writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
