@@ -2,10 +2,11 @@
 
 The model is counted by Spark over every document that passes the base rules: each task counts the n-grams of the highest order as
 exact integers (the language and up to ORDER bytes fit 64 bits), and the sums meet by n-gram. The lower
-orders hold continuation counts, the number of different bytes seen before. Each order has three discounts for its
+orders hold continuation counts, the number of different bytes seen before. Each order of each language has three discounts for its
 counts of one, two and more. For scoring, every order is a pair of sorted arrays: n-gram and log probability (with interpolation already
 worked in), and context and its back-off weight. n-grams are kept whole, packed with their language into 64 bits, so none shares another's
-counts and the model grows with the corpus: 12 bytes for each distinct n-gram and context of each order are broadcast.
+counts and the model grows with the corpus: 12 bytes for each distinct n-gram and context of each order, which for the bytes of written languages grow ever more slowly.
+Languages are broadcast in BUNDLES parts, and a task loads those of its own texts.
 
 A document's perplexity is 2 ** (mean bits a byte). A language's band is centred on the median of log2(perplexity) of its
 distinct texts that pass the base rules. The mean over n bytes spreads as 1 / sqrt(n), so the deviations are measured times sqrt(n), and the
@@ -25,7 +26,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirstone.llm.shared import byte_views, doc_schema, run_bounds, small_enough, spool, text_batches, text_of, unpacked, whole_row
@@ -41,6 +43,7 @@ SYMBOL = re.compile(r"[#*$%&|<>]")
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 5, 10, 20
 #: n-grams that a task holds before it merges them into its sums.
 BLOCK_BYTES = 4 << 20
+BUNDLES = 64
 START = 32  # what stands before a text: one space
 
 
@@ -228,8 +231,52 @@ class Model:
             return np.where(n > 0, (sums[offsets[1:]] - sums[offsets[:-1]]) / n, np.nan)
 
 
+class Models:
+    """The model of each language, in bundles that are broadcast one by one."""
+
+    def __init__(self, by_lang: dict[int, Model]):
+        self.by_lang = by_lang
+        self.shared: dict[int, Broadcast] | None = None
+
+    def share(self, spark: SparkSession) -> Models:
+        """The same with its languages in broadcast variables, of which a task opens those it meets."""
+        out = Models({})
+        bundles: dict[int, dict[int, Model]] = {}
+        for lang, model in self.by_lang.items():
+            bundles.setdefault(lang % BUNDLES, {})[lang] = model
+        out.shared = {k: spark.sparkContext.broadcast(own) for k, own in bundles.items()}
+        return out
+
+    def of(self, lang: int) -> Model:
+        """A language's model; of an unknown one it knows nothing."""
+        known = self.by_lang if self.shared is None else self.shared[lang % BUNDLES].value if lang % BUNDLES in self.shared else {}
+        return known[lang] if lang in known else Model([_NONE] * ORDER, [_NONE] * ORDER)
+
+    def score(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> np.ndarray:
+        """log2 of the perplexity of each text under its language's model; NaN where it is empty."""
+        out = np.full(len(langs), np.nan)
+        for lang in np.unique(langs).tolist():
+            rows = np.flatnonzero(langs == lang)
+            sizes = offsets[rows + 1] - offsets[rows]
+            own = np.concatenate(([0], np.cumsum(sizes)))
+            at = np.arange(own[-1]) + np.repeat(offsets[rows] - own[:-1], sizes)
+            out[rows] = self.of(lang).score(data[at], own, langs[rows])
+        return out
+
+
+_NONE = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+
+
+def by_language(tables: list[tuple[np.ndarray, np.ndarray]]) -> Models:
+    """The models of all languages from the counts of each order, which are sorted by language."""
+    own = [keys >> np.uint64(8 * order) for order, (keys, _) in enumerate(tables, 1)]
+    found = np.unique(own[0])
+    cuts = [(np.searchsorted(x, found, "left"), np.searchsorted(x, found, "right")) for x in own]
+    return Models({int(lang): build([(keys[b[k] : e[k]], counts[b[k] : e[k]]) for (keys, counts), (b, e) in zip(tables, cuts, strict=True)]) for k, lang in enumerate(found.tolist())})
+
+
 def build(tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """Modified Kneser-Ney from the exact counts of each order."""
+    """Modified Kneser-Ney from the exact counts of each order of one language."""
     grams_, contexts = [], []
     below: tuple[np.ndarray, np.ndarray] | None = None
     for order, (keys, counts) in enumerate(tables, 1):
@@ -253,22 +300,21 @@ def build(tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
     return Model(grams_, contexts)
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Count over all documents and build the model."""
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Models:
+    """Count over all documents and build the models."""
     text_batches(docs.sparkSession)
     exact = spool(count(docs.select(F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))))
-    return build(exact_counts(exact))
+    return by_language(exact_counts(exact))
 
 
-def measured(docs: DataFrame, model: Model, keep: bool, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def measured(docs: DataFrame, model: Models, keep: bool, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Base counts and log2 perplexity of every row; with keep, beside the row's own columns as a struct _doc."""
     spark = docs.sparkSession
     text_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    own = model.share(spark)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
             counts = np.array([base_counts(t) for t in batch.column("_text").to_pylist()], np.int64).reshape(-1, 5)
             data, offsets = byte_views(batch.column("_text"))

@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and word beginnings (languages that inflect hide one stem in many words). Terms that speak for the label are
-learnt from labelled rows; their inverse document frequencies are counted over all documents. Labelled examples become
+learnt from labelled rows, and only they make up the vectors: with all words of the texts, the nearest texts are those on like matters, and votes tell little of the label
+(held-out rows of a table of 2,636 labels: best F1 0.70 and recall 0.6 at any number of neighbours). Their inverse document frequencies are counted over all documents. Labelled examples become
 unit vectors in a block-max inverted index: each term keeps its postings by block of examples with the largest weight
 of every block. A query adds these maxima up to a bound for each block, opens blocks in falling order of
 the bound and stops when no bound reaches the k-th best cosine, so the k nearest are exact. Their labels vote with the squared cosine;
@@ -37,6 +38,8 @@ FIT_ROWS, TERMS = 20_000, 4_096
 NEIGHBOURS, BLOCK = 15, 64
 #: The weight of the vote at the base rate, in examples at cosine 1.
 PRIOR = 1.0
+#: What holds the calibration near the votes.
+RIDGE = 1.0
 #: Lengths of word beginnings that are terms, besides whole words.
 STEMS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
@@ -185,7 +188,8 @@ class Model:
 
     def __init__(self, terms: list[str], n_docs: int, df: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
         self.terms, self.idf = terms, np.log((n_docs + 1) / (df + 1)) + 1
-        examples = sorted(examples, key=lambda x: (sorted(x[2]), x[0]))  # like examples share blocks, which makes the bounds tight
+        # like examples share blocks, which makes the bounds tight; their numbers, which break ties, come from their vectors and labels, not from ids
+        examples = sorted(examples, key=lambda x: (sorted(x[2].items()), x[1], x[0]))
         self.base = (sum(y for _, y, _ in examples) + 1) / (len(examples) + 2)
         own = [x for x in examples if x[2]]
         self.keys, self.labels = [i for i, _, _ in own], np.array([y for _, y, _ in own], float)
@@ -202,9 +206,8 @@ class Model:
 
     @staticmethod
     def _calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-        """Logistic fit of the labels on the votes' log odds, with smoothed targets; Newton steps."""
-        if len(votes) < 20 or labels.min() == labels.max():
-            return 1.0, 0.0
+        """Logistic fit of the labels on the votes' log odds, with smoothed targets; Newton steps. A ridge of RIDGE examples keeps it near the
+        votes themselves where few labels tell otherwise; a falling line, which says that votes mislead, is not taken."""
         x = np.log(votes / (1 - votes))
         design = np.stack((x, np.ones_like(x)), axis=1)
         k = labels.sum()
@@ -212,8 +215,8 @@ class Model:
         w = np.array([1.0, 0.0])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-            grad = design.T @ (p - y) + 1e-3 * (w - (1.0, 0.0))
-            step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), grad)
+            grad = design.T @ (p - y) + RIDGE * (w - (1.0, 0.0))
+            step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + RIDGE * np.eye(2), grad)
             w = w - step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
             if np.abs(step).max() < 1e-8:
                 break
