@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -217,9 +218,31 @@ def test_run_index():
         for s, w in zip(strings, weights, strict=True):
             for k in range(len(s) - length + 1):
                 counts[s[k : k + length]] += w
-        index = run_index.RunIndex(strings, weights, length)
+        index = run_index.RunIndex(strings, weights)
         assert [m.tolist() for m in index.matches(length)] == [[k for k in range(len(s) - length + 1) if counts[s[k : k + length]] > 1] for s in strings]
-        assert len(index.run_start) == len(index.run_end_sample)
+
+
+def test_matching_statistics():
+    """Lengths and places against brute force; in a repetitive collection there are few runs, so few samples."""
+    rng = random.Random(9)
+    for _ in range(200):
+        alphabet = rng.choice([b"ab", b"abc", b"a", b"\0\xff", bytes(range(7))])
+        strings = [bytes(rng.choice(alphabet) for _ in range(rng.randrange(0, 40))) for _ in range(rng.randrange(1, 7))]
+        weights = [rng.choice([1, 1, 1, 2]) for _ in strings]
+        index = run_index.RunIndex(strings, weights)
+        length, place = index.statistics()
+        where = [(k, at) for k, s in enumerate(strings) for at in range(len(s))]
+        for k, at in where:
+            own = strings[k][at:]
+            best = len(own) if weights[k] > 1 else max((len(os.path.commonprefix([own, strings[j][x:]])) for j, x in where if (j, x) != (k, at)), default=0)
+            n, x = int(length[index.starts[k] + at]), int(place[index.starts[k] + at])
+            assert n == best
+            if n:
+                j = int(np.searchsorted(index.starts, x, "right")) - 1
+                assert strings[j][x - index.starts[j] :][:n] == own[:n] and (weights[k] > 1 or (j, x - index.starts[j]) != (k, at))
+    text = bytes(rng.randrange(97, 123) for _ in range(400))
+    copies = run_index.RunIndex([text[k:] for k in range(60)], [1] * 60)
+    assert len(copies.run_start) == len(copies.head_length) == len(copies.tail_length) < 0.05 * copies.n
 
 
 def test_anchors_are_the_strings_own():

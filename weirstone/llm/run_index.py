@@ -9,9 +9,9 @@ A byte goes if a string of LENGTH bytes that covers it starts anywhere else too,
    Burrows-Wheeler transform of the collection would make of them are made beforehand. Where all contexts of an anchor are
    equal their strings are repeated as a whole.
 3. Where contexts of one anchor differ, they are fetched and indexed: batches of anchors give one run-compressed Burrows-Wheeler
-   transform each, with the suffix positions at the ends of its runs. Every context is streamed backwards through it by LF steps
-   over the runs, from its end to its start, which gives the row of each suffix; rows whose neighbours
-   agree on LENGTH bytes form classes, and a class of weight two or more is a match long enough (matching statistics cut off at LENGTH).
+   transform each, with samples at the ends of its runs. Every context is streamed backwards through it by LF steps
+   over the runs, from its end to its start, which gives its matching statistics (how far the bytes from each place on occur elsewhere) out of the samples alone;
+   a match of LENGTH bytes or more is marked.
 4. An anchor with more than GROUP_BYTES of different contexts isn't indexed in one task. Its contexts are cut in two halves by
    the offset of the anchor in the string; each half's strings share some more bytes, which are hashed into the
    key, and the halves are settled in another round. After a few rounds a context is one string, and equal ones are one entry
@@ -232,97 +232,114 @@ def sorted_out(found: DataFrame) -> DataFrame:
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of weighted strings, and its classes of suffixes that agree on `length` bytes.
+    """Run-compressed Burrows-Wheeler transform of weighted strings, sampled at the ends of its runs.
 
-    Kept are the runs (start, character, LF value), the suffix position at the end of each run, and the first row and the
-    weight of each class; rows are found again by streaming a string through the runs.
+    Kept are the runs (start, character, LF value) and two samples for each: for the suffixes that LF makes of its first and last row, the place
+    of the suffix that is next to it in order, outside the run, and the bytes that both agree on. The suffix order itself is given up. As long as a stream stays
+    inside runs its neighbours in order move along with it and agree on one byte more; where it meets an end of a run, the sample there takes over. So
+    all matching statistics come from the samples, and there are as many of those as there are runs.
     """
 
-    def __init__(self, strings: list[bytes], weights: list[int], length: int):
-        sizes = np.array([len(s) for s in strings], np.int64)
-        self.ends = np.cumsum(sizes + 1)  # each string is followed by a zero that no other character reaches
-        self.starts = self.ends - sizes - 1
+    def __init__(self, strings: list[bytes], weights: list[int]):
+        self.sizes = np.array([len(s) for s in strings], np.int64)
+        self.weights = np.array(weights, np.int64)
+        self.ends = np.cumsum(self.sizes + 1)  # each string is followed by a zero that no other character reaches
+        self.starts = self.ends - self.sizes - 1
         text = np.zeros(int(self.ends[-1]), np.int64)
         text[:] = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
         text += 1
         text[self.ends - 1] = 0
-        n = len(text)
-        rest = np.repeat(self.ends, sizes + 1) - np.arange(n)  # characters up to and with the zero
-        order, rank, agree = self._sort(text, rest, length)
+        self.n = len(text)
+        rest = np.repeat(self.ends, self.sizes + 1) - np.arange(self.n)  # characters up to and with the zero
+        order, levels = self._sort(text, rest)
         last = text[order - 1]  # the character before each suffix; nothing comes before a string
         last[np.isin(order, self.starts)] = 0
         bounds = run_bounds(last)
-        self.run_start, self.run_char = bounds[:-1], last[bounds[:-1]]
-        self.run_end_sample = order[bounds[1:] - 1]
-        count = np.bincount(last, np.ones(n), 258).astype(np.int64)
+        self.run_start, self.run_end, self.run_char = bounds[:-1], bounds[1:] - 1, last[bounds[:-1]]
+        count = np.bincount(last, minlength=258)
         # rows of zeros come first, one for each string, whatever precedes it
         first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=258))[:-1])).astype(np.int64)
         by_char = np.argsort(self.run_char, kind="stable")
-        width = np.diff(bounds)[by_char]
-        before = np.cumsum(width) - width
+        width = np.diff(bounds)
+        before = np.cumsum(width[by_char]) - width[by_char]
         base = np.concatenate(([0], np.cumsum(count)))[self.run_char[by_char]]
         self.lf = np.empty(len(by_char), np.int64)
         self.lf[by_char] = first[self.run_char[by_char]] + before - base
-        #: Rows of the strings' zeros, from which streaming starts.
-        self.end_rows = rank[self.ends - 1]
-        self.class_start = np.flatnonzero(~agree)
-        weight = np.repeat(np.array(weights, np.int64), sizes + 1)[order]
-        self.class_weight = np.add.reduceat(weight, self.class_start)
-        self.sizes = sizes
+        self.head_place, self.head_length = self._samples(text, rest, order, levels, self.lf, -1)
+        self.tail_place, self.tail_length = self._samples(text, rest, order, levels, self.lf + width - 1, 1)
+        m = len(strings)
+        #: Where streams begin: the zeros' neighbours in order, with which they agree on nothing.
+        self.above_ends = np.append(-1, self.ends[:-1] - 1)
+        self.below_ends = np.append(self.ends[1:] - 1, order[m] if m < self.n else -1)
+
+    def _samples(self, text: np.ndarray, rest: np.ndarray, order: np.ndarray, levels: dict[int, np.ndarray], rows: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the suffix in each row the place of its neighbour and the bytes that they agree on; runs that precede a whole string have none."""
+        place, length = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
+        at = np.flatnonzero((self.run_char > 0) & (rows + side >= 0) & (rows + side < self.n))
+        a, b = order[rows[at]], order[rows[at] + side]
+        same = np.zeros(len(at), np.int64)
+        for step in sorted(levels, reverse=True):  # ranks by the first `step` characters
+            x, y = np.minimum(a + same, self.n - 1), np.minimum(b + same, self.n - 1)
+            same += np.where(levels[step][x] == levels[step][y], step, 0)
+        on = np.ones(len(at), bool)
+        for _ in range(PACKED - 1):
+            on &= text[np.minimum(a + same, self.n - 1)] == text[np.minimum(b + same, self.n - 1)]
+            same += on
+        place[at], length[at] = b, np.minimum(same, np.minimum(rest[a], rest[b]) - 1)
+        return place, length
 
     @staticmethod
-    def _sort(text: np.ndarray, rest: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffix order by doubling, the row of each suffix, and for each row whether it agrees with the one before on `length` bytes."""
-        n, most = len(text), int(rest.max())
-        have = PACKED if length >= 2 * PACKED else 1
+    def _sort(text: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Suffix order by doubling, equal suffixes in the order of their strings, and the ranks of each doubling by the characters that it has seen."""
+        n, most, have = len(text), int(rest.max()), PACKED
         key = np.zeros(n, np.int64)
         for k in range(have):
             key <<= 9
-            inside = n - k
+            inside = max(n - k, 0)
             key[:inside] |= np.where(rest[:inside] > k, text[k:], 0)
-        kept: dict[int, np.ndarray] = {}
+        levels: dict[int, np.ndarray] = {}
         while True:
             order = np.argsort(key)
             step = np.append(False, key[order[1:]] != key[order[:-1]])
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(step)
+            levels[have] = rank
             if have >= most:
-                break
-            kept[have] = rank
+                return np.argsort(rank * n + np.arange(n)), levels
             key = rank * (n + 1)
             inside = np.flatnonzero(rest > have)
             key[inside] += rank[inside + have] + 1
             have *= 2
-        order = np.argsort(rank * n + np.arange(n))  # equal suffixes in the order of their strings
-        kept[have] = rank
-        half = max(h for h in kept if h <= length)
-        level = kept[half]
-        deep = rest > length  # the zero that ends a string is no byte of it
-        tail = np.where(deep, level[np.minimum(np.arange(n) + length - half, n - 1)], -1)
-        a, b = order[:-1], order[1:]
-        agree = np.append(False, deep[a] & deep[b] & (level[a] == level[b]) & (tail[a] == tail[b]))
-        row = np.empty(n, np.int64)
-        row[order] = np.arange(n)
-        return order, row, agree
 
-    def matches(self, length: int) -> list[np.ndarray]:
-        """For each string the starts of its substrings of that length that occur with a weight of two or more."""
-        heavy = self.class_weight > 1
-        rows, left = self.end_rows.copy(), self.sizes.copy()
-        strings, found = np.arange(len(rows)), []
+    def statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of the collection (a string begins at starts[k]) how many bytes from there on occur at another place too, and
+        that place. All strings are streamed backwards at once. A string of weight two or more occurs elsewhere as a whole; its place is its own."""
+        length, place = np.zeros(self.n, np.int64), np.full(self.n, -1, np.int64)
+        strings = np.flatnonzero(self.sizes > 0)
+        rows, at = strings.copy(), self.ends[strings] - 1
+        above, below = self.above_ends[strings], self.below_ends[strings]
+        up, down = np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)
         while len(rows):
             run = np.searchsorted(self.run_start, rows, "right") - 1
+            head, tail = rows == self.run_start[run], rows == self.run_end[run]
+            above, up = np.where(head, self.head_place[run], above - 1), np.where(head, self.head_length[run], up + 1)
+            below, down = np.where(tail, self.tail_place[run], below - 1), np.where(tail, self.tail_length[run], down + 1)
             rows = self.lf[run] + rows - self.run_start[run]
-            left -= 1
-            hit = heavy[np.searchsorted(self.class_start, rows, "right") - 1]
-            found.append(np.stack((strings[hit], left[hit])))
-            go = left > 0
-            rows, left, strings = rows[go], left[go], strings[go]
-        where = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        where = where[:, np.lexsort((where[1], where[0]))]
-        where = where[:, where[1] + length <= self.sizes[where[0]]]
-        cuts = np.searchsorted(where[0], np.arange(len(self.sizes) + 1))
-        return [where[1, b:e] for b, e in zip(cuts[:-1], cuts[1:], strict=True)]
+            at = at - 1
+            length[at], place[at] = np.maximum(up, down), np.where(up >= down, above, below)
+            go = at > self.starts[strings]
+            if not go.all():
+                rows, at, above, below, up, down, strings = (x[go] for x in (rows, at, above, below, up, down, strings))
+        for k in np.flatnonzero(self.weights > 1):
+            b, e = self.starts[k], self.ends[k]
+            length[b:e], place[b:e] = np.arange(e - b - 1, -1, -1), np.arange(b, e)
+        return length, place
+
+    def matches(self, length: int) -> list[np.ndarray]:
+        """For each string the starts of its substrings of that length that occur with a weight of two or more."""
+        where = np.flatnonzero(self.statistics()[0] >= length)
+        cuts = np.searchsorted(where, np.append(self.starts, self.n))
+        return [where[b:e] - s for b, e, s in zip(cuts[:-1], cuts[1:], self.starts, strict=True)]
 
 
 def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -367,7 +384,7 @@ def settle(contexts: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
             entries = [item for rows in groups for item in rows]
             if not entries:
                 return
-            found = RunIndex([e[4] for e in entries], [e[5] for e in entries], LENGTH).matches(LENGTH)
+            found = RunIndex([e[4] for e in entries], [e[5] for e in entries]).matches(LENGTH)
             yield from out([(0, 0, row, at + b, 0, e - b, None, 0, 0, 0) for (_, row, at, *_), starts in zip(entries, found, strict=True) for b, e in _spans(starts)])
 
         for batch in batches:
