@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by meeting in the middle of Hamming balls.
+"""SimHash near-duplicates by meeting in the middle of Hamming balls, around what is left of a fingerprint without one of four blocks.
 
 Fingerprints within RADIUS = 3 bits link. Two fingerprints at distance 3 have no common variant within one flipped bit, and
 all variants within two flips are 2,081 for each fingerprint. So the odd bit is taken out beforehand: the 64 bits are
@@ -8,7 +8,7 @@ the 48 bits that are left and all variants of them with one bit flipped, 196 key
 key; the pairs that share one are verified on all 64 bits.
 
 Only distinct fingerprints emit, so a group of copies costs what one document costs. Rows with one key meet in one task in sorted
-order. A large group is compared block by block in numpy, and no pair leaves it that isn't needed for its
+order, at most 49 * 2 ** 16 distinct fingerprints whatever the table holds (48 bits of theirs are the key's, but for a flip). A large group is compared block by block in numpy, and no pair leaves it that isn't needed for its
 connection (a spanning forest), so what is emitted grows with the members and not with their pairs. Components come from
 repeated large-star and small-star steps, each written to the shared folder.
 
@@ -149,8 +149,9 @@ def links(fps: DataFrame) -> DataFrame:
             held = ([keys[cut:]], [own[cut:]])
         yield match(np.concatenate([none, *held[0]]), np.concatenate([none, *held[1]]))
 
-    # a fingerprint makes 196 rows: dealt out beforehand, as few tasks would be enough for the fingerprints themselves
-    keyed = fps.select("fp").repartition(parts(spark), "fp").mapInArrow(emit, "key bigint, fp bigint")
+    # a fingerprint makes 196 rows: dealt out beforehand, as few tasks would be enough for the fingerprints themselves. They come grouped by
+    # fp: by that column itself the exchange would be taken for the grouping's own, and its partitions coalesced by their small size
+    keyed = fps.select("fp").repartition(parts(spark), F.xxhash64("fp")).mapInArrow(emit, "key bigint, fp bigint")
     return keyed.repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
