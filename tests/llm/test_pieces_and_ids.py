@@ -109,6 +109,28 @@ def test_shards(spark, docs, nothing):
     assert id_shards.read(spark, folder, dictionary).collect() == []
 
 
+def test_shards_of_hot_ids(spark):
+    """Rows without an id, and rows of one id, that are a third of a table each lie in several buckets, in order all the same."""
+    rows = [(None, f"none {k}") for k in range(300)] + [(7, f"seven {k}") for k in range(300)] + [(k, f"own {k}") for k in range(-150, 150)]
+    folder, dictionary = id_shards.write(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), WORDS, 1)
+    out = id_shards.read(spark, folder, dictionary).orderBy("start").collect()
+    keys = [r.doc_id for r in out]
+    assert keys == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert [r.start for r in out] == np.cumsum([0] + [r.n_tokens for r in out])[:-1].tolist()
+    held: dict = {}
+    for r in spark.read.parquet(folder).collect():
+        shard = id_shards.Shard(bytes(r.data), dictionary)
+        for key in {None if none else k for k, none in zip(shard.keys.tolist(), shard.null.tolist(), strict=True)}:
+            held.setdefault(key, set()).add(r.bucket)
+    assert len(held[None]) > 3 and len(held[7]) > 3 and all(len(v) == 1 for k, v in held.items() if k not in (None, 7))
+
+
+def test_files_do_not_depend_on_partitions(spark):
+    rows = [(k, f"some words and the number {k} of {k * k % 97}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert id_shards.train_dictionary(df.repartition(5), WORDS, "doc_id", "text") == id_shards.train_dictionary(df.coalesce(1), WORDS, "doc_id", "text")
+
+
 def test_one_document_of_a_shard(spark, tmp_path):
     df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words and the number "), F.col("id").cast("string")).alias("text"))
     folder, dictionary = id_shards.write(df, WORDS, 1)

@@ -13,10 +13,12 @@ shard stand by themselves and can be put into files with export_files().
         frames    each document's ids, compressed on their own
 
 A document is read by looking its id up in the index and decompressing one frame. Shards are in ascending order of doc_id
-(null first, equal ids by their frames): buckets are ranges of doc_id, and within a bucket one sorted task writes them.
+(null first, equal ids by their frames): buckets are ranges of doc_id, and within a bucket one sorted task writes them. An id, or no id, that has
+more rows than a bucket should gets several buckets, over which its rows are dealt by a checksum of their frames, which orders them before the frames do.
 
-The dictionary is trained on a bounded sample of documents (SAMPLE_DOCS of at most SAMPLE_BYTES characters, chosen by a hash of their
-id); every document is encoded, compressed and indexed whatever the sample holds.
+The dictionary is trained on a bounded sample of documents (SAMPLE_DOCS of at most SAMPLE_BYTES characters, those with the least hashes, so the
+files don't depend on how the table is partitioned); every document is encoded, compressed and indexed whatever the sample holds. The trainer needs
+LEAST_SAMPLES samples that differ: with fewer, or where it finds nothing that they share, the set has an empty dictionary and plain frames.
 
 Defined cases: a null text counts as empty and has the end id alone; repeated rows are kept as they are; an empty table gives an
 empty result; columns other than the id and the text are not read.
@@ -44,7 +46,7 @@ from weirstone.llm.shared import parts, sliced, text_batches, text_of, work_fold
 MAGIC = b"WSIDS001"
 HEAD = struct.Struct("<8s32sIIQ")
 #: The sample that the dictionary is trained on, and the dictionary's own size.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 16_384, 65_536
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEAST_SAMPLES = 2_000, 16_384, 65_536, 16
 LEVEL = 3
 #: A shard ends beyond so many bytes of frames.
 SHARD_BYTES = 4 << 20
@@ -166,14 +168,15 @@ def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
     """A zstandard dictionary from the serialised ids of a bounded sample; empty if there is too little to learn from."""
     step = max(1, docs.count() // SAMPLE_DOCS)
     text = text_of(text_col)
-    few = docs.where((F.pmod(F.xxhash64(F.col(id_col)), F.lit(step)) == 0) & (F.length(text) <= SAMPLE_BYTES)).select(text.alias("text")).limit(SAMPLE_DOCS)
+    order = F.xxhash64(F.col(id_col).cast("bigint"), text)
+    few = docs.where(F.length(text) <= SAMPLE_BYTES).select(text.alias("text"), order.alias("order")).where(F.pmod("order", F.lit(step)) == 0).orderBy("order", "text").limit(SAMPLE_DOCS).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(encoder(tokenizer).encode(batch.column(0).to_pylist()), pa.binary())], ["ids"])
 
     samples = sorted(bytes(r.ids) for r in few.mapInArrow(run, "ids binary").collect() if len(r.ids) >= 16)
-    if len(samples) < 16:
+    if len(samples) < LEAST_SAMPLES:
         return b""
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, sum(map(len, samples)) // 10)), samples).as_bytes()
@@ -224,8 +227,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     text_batches(spark)
     dictionary = train_dictionary(docs, tokenizer, id_col, text_col)
     n = min(MOST_BUCKETS, 4 * parts(spark))
-    cuts = docs.select(F.percentile_approx(F.col(id_col).cast("bigint"), [k / n for k in range(1, n)], 20 * n).alias("at")).first().at or []
-    cuts = np.array(sorted(set(cuts)), np.int64)
+    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(NO_ID)))
+    cuts = np.array(sorted(docs.select(F.percentile_approx(key, [k / n for k in range(1, n)], 20 * n).alias("at")).first().at or []), np.int64)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
@@ -234,8 +237,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
         for batch in batches:
             keys = batch.column(0)
             ids = [x + end for x in own.encode(batch.column(1).to_pylist())]
-            bucket = np.searchsorted(cuts, keys.fill_null(int(NO_ID)).to_numpy(), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), keys, pa.array([len(x) // own.width for x in ids], pa.int64()), pa.array(map(pack, ids), pa.binary())], ["bucket", "key", "n", "frame"])
+            frames = [pack(x) for x in ids]
+            low, high = (np.searchsorted(cuts, keys.fill_null(int(NO_ID)).to_numpy(), side) for side in ("left", "right"))
+            several = np.flatnonzero(high - low > 1)  # an id that two cuts or more fall on: after all of these but the last no other id comes
+            high[several] = low[several] + 1 + np.array([zlib.crc32(frames[k]) for k in several], np.int64) % (high - low)[several]
+            yield pa.RecordBatch.from_arrays([pa.array(high, pa.int32()), keys, pa.array([len(x) // own.width for x in ids], pa.int64()), pa.array(frames, pa.binary())], ["bucket", "key", "n", "frame"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, rows, size, seen, bucket, shards = encoder(tokenizer).width, [], 0, 0, None, 0
