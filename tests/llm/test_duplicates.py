@@ -87,6 +87,96 @@ def test_near_copies_equal_brute_force(spark, nothing, crowded):
     assert as_given(near_copies.keep_one(crowded), crowded.columns)
 
 
+def test_near_copies_meet_by_simhash(spark):
+    """Fingerprints, keys and the groups that links of fingerprints make within a key, against brute force."""
+    rng = random.Random(23)
+    texts = ["", "one two", words(rng, 700)]
+    for _ in range(40):
+        own = words(rng, rng.randrange(40, 120)).split()
+        for n in (0, 1, 1, 2, 6):
+            near = list(own)
+            for _ in range(n):
+                near[rng.randrange(len(near))] = words(rng, 1)
+            texts.append(" ".join(near))
+    texts = list(dict.fromkeys(texts))
+    bits, number = near_copies.tables(60_000)
+    width = -(-bits * number // 64)
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row bigint, text string").repartition(3)
+    sketched = near_copies.sketches(rows, width)
+    prints = {r._row: r.print for r in sketched.collect()}
+    full = (1 << 64) - 1
+
+    def slow_print(hashes):
+        out = b""
+        for word in range(1, width + 1):
+            ones = [0] * 64
+            for h in hashes:
+                h = h + word * 0x9E3779B97F4A7C15 & full
+                h = (h ^ h >> 30) * 0x94D049BB133111EB & full
+                h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & full
+                h ^= h >> 29
+                for bit in range(64):
+                    ones[bit] += h >> bit & 1
+            out += bytes(sum((2 * ones[8 * lane + bit] > len(hashes)) << 7 - bit for bit in range(8)) for lane in range(8))
+        return out
+
+    assert prints[0] is None
+    for k in (1, 2, 3, 9):
+        assert prints[k] == slow_print(near_copies.shingles(texts[k]).tolist())
+    strings = {k: "".join(f"{byte:08b}" for byte in p) for k, p in prints.items() if p is not None}
+    first = {k: (int(t[:64], 2), int(t[64:128], 2)) for k, t in strings.items()}
+
+    def near(a, b):
+        one, two = ((x ^ y).bit_count() for x, y in zip(first[a], first[b], strict=True))
+        return one <= 24 and one + two <= 38
+
+    want = set()
+    for table in range(number):
+        met: dict[str, list] = {}
+        for k, bits_of in strings.items():
+            met.setdefault(bits_of[bits * table : bits * (table + 1)], []).append(k)
+        for group in met.values():
+            roots = slow_components(group, near)
+            want |= {frozenset(x for x, r in zip(group, roots, strict=True) if r == root) for root in roots if roots.count(root) > 1}
+    found: dict[int, set] = {}
+    for r in near_copies.candidates(sketched.withColumnRenamed("_row", "node"), bits, number).collect():
+        found.setdefault(r.bucket, set()).add(r.node)
+    assert {frozenset(g) for g in found.values()} == want and len(want) > 60
+
+
+def test_simhash_finds_near_copies():
+    """Pairs at a similarity of 0.8 just about have a key in common; large groups are told apart like small ones."""
+    rng = np.random.default_rng(4)
+    bits, number = near_copies.tables(1_000_000)
+    missed = 0
+    for k in range(400):
+        common, extra = (k % 40 + 1) * 8, k % 40 + 1
+        pool = rng.integers(0, 1 << 63, common + 2 * extra).astype(np.uint64)
+        sets = [np.sort(pool[: common + extra]), np.sort(np.concatenate((pool[:common], pool[common + extra :])))]
+        prints = near_copies.fingerprints(sets, -(-bits * number // 64))
+        first = prints[:, :16].copy().view(np.uint64)
+        one, other = near_copies.keys(prints, bits, number)
+        missed += not (one == other).any() or not len(near_copies.near(first[:1], first[1:])[0])
+    assert missed <= 2
+    centres = rng.integers(0, 1 << 63, (3_000, 2)).astype(np.uint64)
+    members = np.concatenate((centres, centres[:200] ^ np.uint64(5), np.repeat(centres[7:8], 600, axis=0) ^ (np.uint64(1) << rng.integers(0, 64, (600, 1)).astype(np.uint64))))
+    bits_apart = np.bitwise_count(members[:, None] ^ members[None])
+    near = [np.flatnonzero(row).tolist() for row in (bits_apart.sum(axis=2) <= 38) & (bits_apart[:, :, 0] <= 24)]
+    want, seen = [], set()
+    for k in range(len(members)):
+        if k in seen:
+            continue
+        front, own = [k], {k}
+        while front:
+            reached = set(near[front.pop()]) - own
+            own |= reached
+            front.extend(reached)
+        if len(own) > 1:
+            want.append(sorted(own))
+        seen |= own
+    assert sorted(g.tolist() for g in near_copies.linked(members)) == want and len(want) > 150 and max(map(len, want)) > 600
+
+
 def test_links_in_all_places(spark):
     rng = random.Random(3)
     prints = {rng.getrandbits(64) for _ in range(150)}
